@@ -27,8 +27,12 @@ def strip_interrogatives(question: Column) -> Column:
 
 def ngrams(words: Column, most: int = 5) -> Column:
     """All runs of 1 to ``most`` words, joined by blanks, shortest first."""
-    each = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]
-    return F.flatten(F.array(*each))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[runs(n) for n in range(1, most + 1)]))
 
 
 def sentences(text: Column) -> Column:

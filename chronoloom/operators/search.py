@@ -121,7 +121,9 @@ def bm25(df: DataFrame, key: str, columns: list[str], query: str, limit: int | N
     negative = [x for x in _all(tree) if x not in every]
     words = tokens(F.concat_ws(" ", *columns))
     named = [*every, *negative]
-    counted = df.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("_dl"), *[_frequency(F.col("_w"), x).alias(f"_f{i}") for i, x in enumerate(named)])
+    # one lambda binds the tokens, so that they are made once a row
+    row = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("_dl"), *[_frequency(w, x).alias(f"_f{i}") for i, x in enumerate(named)]))
+    counted = df.select(key, F.element_at(row, 1).alias("_s")).select(key, "_s.*")
     stats = counted.agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(every))]).first()
     n, average = stats["n"], stats["avg"] or 1.0
     score = F.lit(0.0)

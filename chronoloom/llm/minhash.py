@@ -8,8 +8,9 @@ equal to their Jaccard similarity, and the sum of agreements concentrates like i
 Candidates come from bands of coordinates: 32 bands of 4 miss a link at similarity 0.8 with probability 5e-8. Texts
 with equal sets are one node from the start. In each bucket every node is first checked against one leader, which
 joins most groups in a number of pairs linear in their size. Whatever buckets still hold nodes of several components
-is then compared whole: sketches in blocks, pairs of different components only, and what may reach the threshold is
-verified on full sets. No bucket is capped and no link between components is given up.
+is then compared whole, in blocks: pairs of different components whose sketches may reach the threshold are verified
+on full sets in the task, each in the first bucket that both share, and only links that join two components come out,
+so the rows stay linear. No bucket is capped and no link between components is given up.
 """
 
 from __future__ import annotations
@@ -153,54 +154,84 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _bucket_pairs(batches):
-    """Candidate pairs of each group of rows with equal (band, i, j), which arrive sorted by it."""
-    names = ["band", "i", "j", "block", "node", "root", "n", "sketch"]
-    held: list[list] = [[] for _ in names]
-    key = None
-
-    def close():
-        nodes, roots = held[4], held[5]
-        if len(nodes) < 2 or len(set(roots)) < 2:
-            return [], []
-        block, sizes = np.array(held[3]), np.array(held[6], np.float64)
-        marks = np.frombuffer(b"".join(held[7]), np.uint8).reshape(len(nodes), T)
-        root = np.unique(np.array(roots, object), return_inverse=True)[1]
-        left, right = (np.arange(len(nodes)),) * 2 if key[1] == key[2] else (np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2]))
-        a, b = [], []
+class _Bucket:
+    """Rows of one block pair of a bucket; ``links`` joins its components by verified pairs, one pair a join."""
+
+    def __init__(self, key: tuple[int, int, int, int]):
+        self.key = key
+        self.blocks, self.nodes, self.roots, self.items, self.marks, self.bands = ([] for _ in range(6))
+
+    def links(self) -> list[tuple[bytes, bytes]]:
+        names = sorted(set(self.roots))
+        if len(names) < 2:
+            return []
+        number, i, j = self.key[1:]
+        place = {name: k for k, name in enumerate(names)}
+        root = np.array([place[r] for r in self.roots])
+        sizes = np.array([len(x) for x in self.items], np.float64)
+        marks = np.frombuffer(b"".join(self.marks), np.uint8).reshape(-1, T)
+        bands, block, everyone = np.stack(self.bands), np.array(self.blocks), np.arange(len(root))
+        left, right = (everyone, everyone) if i == j else (everyone[block == i], everyone[block == j])
+        out = []
         for x in left.tolist():
-            y = right[right > x] if key[1] == key[2] else right
+            y = right[right > x] if i == j else right
             y = y[(root[y] != root[x]) & (100 * np.minimum(sizes[x], sizes[y]) >= 80 * np.maximum(sizes[x], sizes[y]))]
-            if len(y):
-                y = y[(marks[y] == marks[x]).sum(1) >= LEAST_AGREEMENTS]
-                a += [min(nodes[x], nodes[k]) for k in y.tolist()]
-                b += [max(nodes[x], nodes[k]) for k in y.tolist()]
-        return a, b
-
+            y = y[(marks[y] == marks[x]).sum(1) >= LEAST_AGREEMENTS]
+            # a pair that meets in several buckets is verified in the first alone
+            y = y[(bands[y] == bands[x]).argmax(1) == number]
+            for k in y.tolist():
+                if root[k] == root[x]:
+                    continue
+                a, b = self.items[x], self.items[k]
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * shared >= 80 * (len(a) + len(b) - shared):
+                    out.append((self.nodes[x], self.nodes[k]))
+                    root[root == root[k]] = root[x]
+        return out
+
+
+def _bucket_links(batches):
+    """Links of each group of rows with equal (band, number, i, j), which arrive sorted by it."""
+
+    def batch_of(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    bucket = None
     for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if row[:3] != key:
-                more = close() if key is not None else ([], [])
-                a, b = a + more[0], b + more[1]
-                held, key = [[] for _ in names], row[:3]
-            for column, value in zip(held, row, strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-    if key is not None:
-        a, b = close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have 100 * intersection >= 80 * union, written out."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
+        out = []
+        keys = zip(*(batch.column(c).to_pylist() for c in ("band", "number", "i", "j")), strict=True)
+        rest = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "sketch")), strict=True)
+        arrays = zip(batch.column("items"), batch.column("bands"), strict=True)
+        for key, (block, node, root, mark), (items, bands) in zip(keys, rest, arrays, strict=True):
+            if bucket is None or key != bucket.key:
+                out += bucket.links() if bucket else []
+                bucket = _Bucket(key)
+            bucket.blocks.append(block)
+            bucket.nodes.append(node)
+            bucket.roots.append(root)
+            bucket.marks.append(mark)
+            # copies, so that a batch is not kept for one of its rows
+            bucket.items.append(items.values.to_numpy().view(np.uint64).copy())
+            bucket.bands.append(bands.values.to_numpy().copy())
+        yield batch_of(out)
+    if bucket:
+        yield batch_of(bucket.links())
+
+
+def _node_sets(wanted: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(node, items): the sets of the nodes ``wanted`` (w, distinct), from their texts, written out."""
     ids = reps.join(wanted, reps["node"] == wanted["w"], "left_semi").select(F.col("label").alias("id"))
     texts = documents.select("doc_id", "text")
     side = F.broadcast(ids) if wanted.count() <= BROADCAST_NODES else ids
     found = texts.join(side, texts["doc_id"] == side["id"], "left_semi").select("text")
     # a doc_id with several texts gives sets that are not wanted, and equal sets more than once
-    sets = materialize(found.mapInArrow(_sets(width), "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
+    return materialize(found.mapInArrow(_sets(width), "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have 100 * intersection >= 80 * union, written out."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
+    sets = _node_sets(wanted, documents, reps, width)
     left = pairs.join(sets.select(F.col("node").alias("nb"), F.col("items").alias("ib")), F.col("b") == F.col("nb")).select("a", "b", "ib")
     both = left.join(sets.select(F.col("node").alias("na"), F.col("items").alias("ia")), F.col("a") == F.col("na"))
     shared = F.size(F.array_intersect("ia", "ib"))
@@ -218,27 +249,29 @@ def near_duplicates(documents: DataFrame, width: int = 2) -> DataFrame:
     """
     signed = materialize(documents.select("doc_id", "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"))
     reps = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    rows = reps.select(F.explode("bands").alias("band"), "node", F.col("n").cast("int").alias("n"))
+    rows = reps.select(F.posexplode("bands").alias("number", "band"), "node", F.col("n").cast("int").alias("n"))
     leaders = materialize(rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("lb"), "leader", "c"))
-    members = materialize(rows.join(leaders, rows["band"] == leaders["lb"]).select("band", "node", "n", "leader", "c"))
+    members = materialize(rows.join(leaders, rows["band"] == leaders["lb"]).select("band", "number", "node", "n", "leader", "c"))
     pairs = materialize(
         members.where("node <> leader.node and 100 * least(n, leader.n) >= 80 * greatest(n, leader.n)").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     )
     links = _verified(pairs, documents, reps, width)
     roots = components(links)
     # what buckets still hold nodes of several components
-    rooted = members.join(roots.withColumnRenamed("node", "rn"), members["node"] == F.col("rn"), "left").select("band", "node", "n", "c", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots.withColumnRenamed("node", "rn"), members["node"] == F.col("rn"), "left").select("band", "number", "node", "c", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted)
     split = materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("sb")))
     n_blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     open_ = rooted.join(split, rooted["band"] == split["sb"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    open_ = open_.select("band", "node", "n", "root", "block", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    marks = reps.select(F.col("node").alias("mn"), "sketch")
-    sent = open_.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n").join(marks, F.col("node") == F.col("mn")).drop("mn")
-    more = sent.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_bucket_pairs, "a binary, b binary").distinct()
-    more = materialize(more)
-    if more.limit(1).count():
-        added = _verified(more, documents, reps, width)
+    open_ = materialize(open_.select("band", "number", "node", "root", "block", n_blocks.alias("n_blocks")))
+    wanted = materialize(open_.select(F.col("node").alias("w")).distinct())
+    if wanted.limit(1).count():
+        sets = _node_sets(wanted, documents, reps, width)
+        marked = reps.join(sets.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn")).select(F.col("node").alias("mn"), "sketch", "bands", "items")
+        spread = open_.select("band", "number", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+        sent = spread.select("band", "number", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(marked, F.col("node") == F.col("mn")).drop("mn")
+        added = materialize(sent.repartition("band", "number", "i", "j").sortWithinPartitions("band", "number", "i", "j").mapInArrow(_bucket_links, "a binary, b binary"))
+        discard(sets)
         if added.limit(1).count():
             roots = components(links.union(added))
     named = reps.select("node", "label").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn")).select("node", "label", "root")
@@ -248,7 +281,7 @@ def near_duplicates(documents: DataFrame, width: int = 2) -> DataFrame:
     alone = reps.select(F.col("node").alias("an"), "label")
     out = signed.select("doc_id", "n_shingles", "node").join(alone, F.col("node") == F.col("an"), "left").join(placed, F.col("node") == F.col("pn"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "label", "doc_id").alias("component_id"))
-    for used in (leaders, members, pairs, rooted, split, more, named, least):
+    for used in (leaders, members, pairs, rooted, split, open_, wanted, named, least):
         discard(used)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -29,7 +29,7 @@ T, BANDS = 128, 32
 #: Coordinates that agree, of T, below which a pair is not verified: 4.9 standard deviations under 0.8 * T.
 LEAST_AGREEMENTS = 80
 #: Nodes of one block when a bucket is compared whole.
-BLOCK = 512
+BLOCK = 1024
 #: Nodes whose ids (24 bytes each) may be broadcast to fetch their texts; beyond it the texts are joined by shuffle.
 BROADCAST_NODES = 500_000
 _SEEDS = np.random.default_rng(20240).integers(1, 2**63, 2 * T, dtype=np.uint64)

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import whole, words
-from .shared import discard, materialize
+from .shared import materialize
 
 #: Samples of a fingerprint; 8 hexadecimal digits each.
 SAMPLES = 32
 #: Samples that share a term's draw of r. Each sample by itself is exact; sharing saves a logarithm a sample.
 SHARED = 2
 _STEP = 0x9E3779B97F4A7C15
+#: Stands for a null doc_id among keys; the hash beside it tells the two apart.
+_NO_ID = -(2**63)
 
 
 def _sample(term: str, log_weight: str, k: int) -> Column:
@@ -36,16 +38,22 @@ def _sample(term: str, log_weight: str, k: int) -> Column:
     return F.expr(f"shiftleft(cast(({score} + 8D) * {2.0**33!r}D as bigint), 23) | (xxhash64({g} ^ {t}) & 8388607L)")
 
 
+def _sampled(terms: DataFrame, keys: list[str], samples: int, repeats: Column | None = None) -> DataFrame:
+    """``keys``, ``samples`` and the largest ``x`` of terms (``keys``, ``x``); counts are divided by ``repeats``."""
+    count = F.count("*").cast("double")
+    weighted = terms.groupBy(*keys, "x").agg((count if repeats is None else count / repeats).alias("n")).select(*keys, "x", F.log("n").alias("lw"))
+    best = weighted.groupBy(*keys).agg(F.max("x").alias("x"), *[F.max(_sample("x", "lw", k)).alias(f"s{k}") for k in range(samples)])
+    return best.select(*keys, "x", F.array(*[f"s{k}" for k in range(samples)]).alias("samples"))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """``keys`` and ``samples``, an array of ``samples`` longs, of every text with a word; texts without one give no row.
 
     Where ``texts`` is already partitioned by the first of ``keys``, nothing is shuffled: the words of a text are
-    counted and sampled in the task that holds it.
+    counted and sampled in the task that holds it. Rows that share all keys count as one text.
     """
     terms = texts.select(*keys, F.explode(words(F.lower(F.col(text)))).alias("w")).select(*keys, F.xxhash64("w").alias("x"))
-    weighted = terms.groupBy(*keys, "x").agg(F.count("*").alias("n")).select(*keys, "x", F.log(F.col("n").cast("double")).alias("lw"))
-    best = weighted.groupBy(*keys).agg(*[F.max(_sample("x", "lw", k)).alias(f"s{k}") for k in range(samples)])
-    return best.select(*keys, F.array(*[f"s{k}" for k in range(samples)]).alias("samples"))
+    return _sampled(terms, keys, samples).drop("x")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -60,7 +68,7 @@ def as_string(samples: Column) -> Column:
 
 
 def _in_turn(rows: DataFrame) -> DataFrame:
-    """``rows`` (a, b, n) with next_a and next_b: the row behind in descending (a, b); after the last, the first.
+    """``rows`` (a, b, n, m, lost) with next_a and next_b: the row behind in descending (a, b); after the last, the first.
 
     Ranges of ``a`` are ordered one by one; only each range's first row meets the other ranges'.
     """
@@ -73,7 +81,7 @@ def _in_turn(rows: DataFrame) -> DataFrame:
     joined = ranged.join(F.broadcast(behind), F.col("p") == F.col("fp"))
     inside = Window.partitionBy("p").orderBy(F.desc("a"), F.desc("b"))
     succeeding = F.coalesce(F.lead(F.struct("a", "b")).over(inside), F.col("after"))
-    return joined.select("a", "b", "n", succeeding.alias("s")).select("a", "b", "n", F.col("s.a").alias("next_a"), F.col("s.b").alias("next_b"))
+    return joined.select("a", "b", "n", "m", "lost", succeeding.alias("s")).select("a", "b", "n", "m", "lost", F.col("s.a").alias("next_a"), F.col("s.b").alias("next_b"))
 
 
 def fingerprint_report(documents: DataFrame) -> DataFrame:
@@ -82,25 +90,32 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
     The edited text ends in the beginning of the next document, by descending doc_id, in place of its last third. A
     null text is empty, a null doc_id comes last. Rows that repeat a doc_id follow each other by a hash of the text;
     equal rows share one place in the order and have equal results.
+
+    Whole texts are shuffled once: both uses of them read the same exchange. Only the borrowed beginnings, a third of
+    the texts, are shuffled besides. Length and digest of the edited text ride along as terms of sides of their own,
+    so that one pass over the texts yields all there is to know of a row.
     """
     text = whole(F.col("text"))
     # a and b name a document: no nulls, so that joins on them keep their partitioning
-    base = documents.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("a"), F.xxhash64(text, F.col("doc_id").isNull()).alias("b"))
-    places = base.select("a", "b", F.length("text").cast("long").alias("n")).distinct()
+    base = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("a"), F.xxhash64(text, F.col("doc_id").isNull()).alias("b"), text.alias("text"), F.col("doc_id").isNull().alias("lost"))
+    places = base.select("a", "b", F.length("text").cast("long").alias("n"), "lost").groupBy("a", "b", "n", "lost").agg(F.count("*").alias("m"))
     turn = materialize(_in_turn(places))
-    asked = turn.select(F.col("next_a").alias("da"), F.col("next_b").alias("db"), F.floor(F.col("n") / 3).cast("int").alias("take"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    given = base.join(asked, (base["a"] == asked["da"]) & (base["b"] == asked["db"])).select("ra", "rb", F.substring("text", F.lit(1), F.col("take")).alias("given"))
-    given = given.groupBy("ra", "rb").agg(F.first("given").alias("given"))
-    n = F.length("text").cast("long")
-    edited = base.join(given, (base["a"] == given["ra"]) & (base["b"] == given["rb"])).select("doc_id", "a", "b", n.alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("given")).alias("edited"))
-    sides = edited.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("e")).select("a", "b", "e.side", "e.t")
-    # equal rows would count their words together: one of them is enough
-    marked = materialize(fingerprints(sides, ["a", "b", "side"], "t"))
-    facts = edited.select("doc_id", "a", "b", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"))
-    own = marked.where("side = 0").select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("samples").alias("own"))
-    other = marked.where("side = 1").select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("samples").alias("alt"))
-    later = marked.where("side = 0").select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("samples").alias("later"))
-    turned = turn.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "next_a", "next_b").join(later, (F.col("next_a") == F.col("na")) & (F.col("next_b") == F.col("nb")), "left")
-    out = facts.join(own, (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob")), "left").join(other, (F.col("a") == F.col("ea")) & (F.col("b") == F.col("eb")), "left")
-    out = out.join(turned, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("own")).alias("fingerprint"), as_string(F.col("alt")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("alt")).alias("near_edited"), likeness(F.col("own"), F.col("later")).alias("near_next"))
+    held = base.select("a", "b", "text")
+    asked = turn.select(F.col("next_a").alias("da"), F.col("next_b").alias("db"), F.floor(F.col("n") / 3).cast("int").alias("take"), F.col("a").alias("ra"), F.col("b").alias("rb"), "n", "m")
+    given = held.join(asked, (held["a"] == asked["da"]) & (held["b"] == asked["db"])).select("ra", "rb", "n", "m", "take", F.substring("text", F.lit(1), F.col("take")).alias("given"))
+    given = given.groupBy("ra", "rb", "n", "m", "take").agg(F.first("given").alias("given"))
+    edited = held.join(given, (held["a"] == given["ra"]) & (held["b"] == given["rb"])).select("a", "b", "m", "text", F.concat(F.substring("text", F.lit(1), (F.col("n") - F.col("take")).cast("int")), F.col("given")).alias("edited"))
+    edited = edited.withColumn("digest", F.sha2(F.encode("edited", "utf-8"), 256))
+    quarters = [F.substring("digest", 16 * i + 1, 16) for i in range(4)]
+    sides = [F.struct(F.lit(i).alias("side"), t.alias("t")) for i, t in enumerate([F.col("text"), F.col("edited"), *quarters])]
+    w = edited.select("a", "b", "m", F.explode(F.array(*sides)).alias("e")).select("a", "b", "m", "e.side", F.explode(words(F.lower("e.t"))).alias("w"))
+    terms = w.select("a", "b", "m", "side", F.when(F.col("side") < 2, F.xxhash64("w")).otherwise(F.conv("w", 16, -10).cast("long")).alias("x"))
+    # equal rows share a place: their words are counted together, then divided by how many rows there are
+    known = _sampled(terms, ["a", "b", "m", "side"], SAMPLES, F.col("m"))
+    of = lambda side, column: F.first(F.when(F.col("side") == side, F.col(column)), ignorenulls=True)
+    marked = materialize(known.groupBy("a", "b").agg(of(0, "samples").alias("own"), of(1, "samples").alias("alt"), *[of(i + 2, "x").alias(f"q{i}") for i in range(4)]))
+    later = marked.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("own").alias("later"))
+    turned = turn.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "next_a", "next_b", "n", "m", "lost").join(later, (F.col("next_a") == F.col("na")) & (F.col("next_b") == F.col("nb")))
+    out = marked.join(turned, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)]))
+    return out.select(F.when(~F.col("lost"), F.col("a")).alias("doc_id"), F.col("n").alias("n_chars"), sha.alias("edited_sha256"), as_string(F.col("own")).alias("fingerprint"), as_string(F.col("alt")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("alt")).alias("near_edited"), likeness(F.col("own"), F.col("later")).alias("near_next"))

@@ -204,3 +204,14 @@ def test_pipeline_on_small_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert len(out) == len({r["doc_id"] for r in out}) and {r["doc_id"] for r in out} <= kept
     assert len(out) >= 0.8 * len(kept)
+
+
+def test_repeated_rows_share_a_fingerprint(spark):
+    rows = [(7, "a b b c c c d e f"), (7, "a b b c c c d e f"), (3, "a b b c c c d e f"), (None, "z y z"), (1, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    got = weighted_sampling.fingerprint_report(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 3), (False, 7), (False, 7), (True, 0)]
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (3, 7)}) == 1
+    for r in got:
+        if r["doc_id"] == 7:  # the next place holds doc 3, whose text is the same
+            assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"a b b c c ca b b").hexdigest()

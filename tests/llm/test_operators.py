@@ -214,4 +214,4 @@ def test_repeated_rows_share_a_fingerprint(spark):
     assert len({r["fingerprint"] for r in got if r["doc_id"] in (3, 7)}) == 1
     for r in got:
         if r["doc_id"] == 7:  # the next place holds doc 3, whose text is the same
-            assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"a b b c c ca b b").hexdigest()
+            assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"a b b c c c a b b").hexdigest()

@@ -30,7 +30,7 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Bits of one bitmap word.
 WORD_BITS = 64
 #: Characters of text whose unknown pre-tokens are merged together.
-TEXT_BLOCK = 4_000_000
+TEXT_BLOCK = 6_000_000
 
 
 class RankQueue:
@@ -85,7 +85,7 @@ class RankQueue:
 class Codec:
     """Encoder and decoder of one rank file. Remembered pre-tokens are bounded in number and length."""
 
-    def __init__(self, rank_file: bytes, pattern: str, remember: int = 300_000):
+    def __init__(self, rank_file: bytes, pattern: str, remember: int = 400_000):
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in rank_file.splitlines() if line)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.n_ranks = max(self.tokens) + 1

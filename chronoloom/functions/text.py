@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Leading words that a question loses before it is searched.
-INTERROGATIVES = ("who", "what", "when", "where", "why", "how", "which", "is", "are", "was", "were", "do", "does", "did", "can", "could", "would", "should", "the", "a", "an")
+INTERROGATIVES = ("what", "who", "where", "when", "why", "how", "tell", "me", "show", "list", "find", "does", "do", "did", "is", "are", "was", "were", "the", "a", "an")
 #: Pronouns by class.
 PERSON, NEUTER, PLURAL = ("he", "she", "him", "her", "his", "hers"), ("it", "its", "this", "that", "these", "those"), ("they", "them", "their", "theirs", "we", "us", "our")
 

@@ -79,3 +79,40 @@ def marked(text: Column, head: Column, tail: Column) -> Column:
     """First mention of head and tail between markers."""
     wrap = lambda t, name, mark: F.when(F.instr(t, name) > 0, F.concat(F.substring(t, F.lit(1), F.instr(t, name) - 1), F.lit(f"[{mark}]"), name, F.lit(f"[/{mark}]"), F.substring(t, F.instr(t, name) + F.length(name), F.length(t)))).otherwise(t)
     return wrap(wrap(text, head, "E1"), tail, "E2")
+
+
+def reversed_negatives(positives: DataFrame) -> DataFrame:
+    """positives (.., head, tail, relation) turned around and labelled ``none``, unless the turned pair is positive too."""
+    swap = {"head": "tail", "tail": "head"}
+    turned = positives.select(*[F.col(swap.get(c, c)).alias(c) for c in positives.columns])
+    told = positives.select(F.col("head").alias("_h"), F.col("tail").alias("_t")).distinct()
+    fresh = turned.join(told, (F.col("head") == F.col("_h")) & (F.col("tail") == F.col("_t")), "left_anti")
+    return fresh.withColumn("relation", F.lit("none"))
+
+
+def near_misses(positives: DataFrame, labels: tuple[str, ...], seed: str = "7") -> DataFrame:
+    """Each positive with another label, the choice by hash of seed and pair, so a run can be repeated."""
+    others = F.filter(F.array(*map(F.lit, sorted(labels))), lambda x: x != F.col("relation"))
+    turn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "head", "tail")), 1, 8), 16, 10).cast("bigint"), F.size(others).cast("bigint"))
+    return positives.withColumn("relation", F.get(others, turn.cast("int")))
+
+
+def augmented(rows: DataFrame, label: str, least: int = 100) -> DataFrame:
+    """All rows, those of a label with fewer than ``least`` repeated in full until it is reached; ``copy`` numbers them."""
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    times = F.greatest(F.ceil(F.lit(least) / F.col("_n")), F.lit(1)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), times - 1))
+    return rows.join(counts, F.col(label).eqNullSafe(F.col("_label"))).withColumn("copy", copies).drop("_n", "_label")
+
+
+def capped(rows: DataFrame, label: str, key: str, none: str = "none", times: float = 2.5, seed: str = "7") -> DataFrame:
+    """``none`` held to ``times`` the mean size of the other labels, by rising ``priority``, then in hash order; the rest whole.
+
+    The cap is the feature: a training set whose classes are in proportion. Without another label nothing is dropped.
+    """
+    counts = rows.where(F.col(label) != none).groupBy(label).agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean")).first()
+    if counts["mean"] is None:
+        return rows
+    most = int(times * counts["mean"])
+    spare = rows.where(F.col(label) == none).orderBy("priority", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(most)
+    return rows.where(F.col(label) != none).unionByName(spare)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import model
 from .functions import dates, text
-from .operators import evaluate, graph, resolve, search
+from .operators import envelope, evaluate, extract, graph, questions, relations, resolve, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -285,3 +285,102 @@ def f1_greedy(spark, d):
 def first_edge_of_entity(spark, d):
     first = Window.partitionBy("relation", "source_id").orderBy(F.asc_nulls_last("valid_from"), "id")
     return model.edges(spark, d).withColumn("r", F.row_number().over(first)).where("r = 1").select("relation", "source_id", "id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in questions.STOP_WORDS)
+_CLEAN = "trim(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_ ]', ' ', 'g'), ' +', ' ', 'g'))"
+_RUNS = f"""{_N}, ew AS (SELECT id, name, string_split(lower({_CLEAN.format("name")}), ' ') AS w FROM entities),
+ er AS (SELECT id, name, len(w) AS n, unnest(list_distinct(flatten(list_transform(range(1, 6), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))))) AS run FROM ew),
+ eb AS (SELECT run, id, name FROM er QUALIFY row_number() OVER (PARTITION BY run ORDER BY (len(string_split(run, ' ')) <> n), n, id) = 1),
+ q AS (SELECT s_suppkey AS qid, 'which nation is ' || s_name || ' located in?' AS question FROM supplier),
+ qw AS (SELECT qid, question, string_split(rtrim(question, '?'), ' ') AS w FROM q),
+ qs AS (SELECT qid, w, unnest(flatten(list_transform(range(1, 6), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: {{'n': n, 'i': i, 's': array_to_string(w[i:i + n - 1], ' ')}})))) AS s FROM qw),
+ hit AS (SELECT qid, w, s.n AS n, s.i AS i, eb.id, eb.name FROM qs JOIN eb ON eb.run = lower({_CLEAN.format("s.s")}) WHERE len(list_filter(string_split(lower(s.s), ' '), lambda x: NOT list_contains([{_STOP}], x))) > 0
+ QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s.n DESC, s.i) = 1)"""
+
+
+def _asked(spark, d):
+    s = model.read(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("which nation is "), "s_name", F.lit(" located in?")).alias("question"))
+
+
+@query(f"WITH {_RUNS} SELECT qid, id AS entity_id, name AS entity, array_to_string(w[1:i - 1] || w[i + n:], ' ') AS verb FROM hit")
+def ngram_link(spark, d):
+    return questions.link(_asked(spark, d), model.entities(spark, d)).drop("question")
+
+
+@query(f"WITH {_D}, {_RUNS} SELECT qid, target_id AS neighbor_id, e.name AS neighbor FROM hit JOIN edges ON source_id = hit.id AND relation = 'located_at' AND valid_until IS NULL JOIN entities e ON e.id = target_id")
+def question_answers(spark, d):
+    n = model.entities(spark, d)
+    linked = questions.link(_asked(spark, d), n).withColumn("relation", F.lit("located_at"))
+    return questions.answers(linked, model.edges(spark, d), n).select("qid", "neighbor_id", "neighbor")
+
+
+_MARKERS = " OR ".join(f"contains(lower(text), '{m}')" for m in questions.COMPLEX_MARKERS)
+
+
+@query(f"SELECT doc_id, ({_MARKERS} OR length(regexp_replace(text, '[^,]', '', 'g')) >= 2) AS complex FROM documents")
+def complex_questions(spark, d):
+    return model.read(spark, d, "documents").select("doc_id", questions.is_complex(F.col("text")).alias("complex"))
+
+
+@query(f"WITH r AS (SELECT 'r' || vec_id AS name, embedding AS y FROM embeddings WHERE vec_id < 10), p AS (SELECT vec_id, name, {_COS} AS score FROM (SELECT vec_id, embedding AS x, name, y FROM embeddings, r)), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS k FROM p) SELECT a.vec_id, a.name AS relation, a.score, b.name AS runner_up, b.score AS runner_up_score FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.k = 1 AND b.k = 2")
+def relation_match(spark, d):
+    v = model.read(spark, d, "embeddings")
+    vocabulary = {f"r{r['vec_id']}": list(r["embedding"]) for r in v.where("vec_id < 10").collect()}
+    return v.select("vec_id", questions.match_relation(F.col("embedding"), vocabulary).alias("m")).select("vec_id", "m.*")
+
+
+@query("WITH t AS (SELECT c_custkey AS id, c_name AS head, p_name AS tail, length(c_name) AS n FROM customer JOIN part ON c_custkey = p_partkey) SELECT id, head, 'chose' AS relation, tail, round(0.65 / (1 + ((n + 3) + 4) / 2.0 / 50) * (1 + CASE WHEN regexp_matches(tail, '^\\p{Lu}') THEN 1 WHEN regexp_matches(tail, '\\p{N}') THEN 0.95 ELSE 0.75 END) / 2 * 1.4, 6) AS confidence FROM t")
+def relations_heuristic(spark, d):
+    c = model.read(spark, d, "customer").join(model.read(spark, d, "part"), F.col("c_custkey") == F.col("p_partkey"))
+    texts = c.select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" chose "), "p_name", F.lit(". It was late.")).alias("text"))
+    heads = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("Person").alias("entity_type"), F.lit(0).alias("start"))
+    tails = c.select(F.col("c_custkey").alias("id"), F.col("p_name").alias("name"), F.lit("Component").alias("entity_type"), (F.length("c_name") + 7).alias("start"))
+    return relations.relations(texts, heads.unionByName(tails))
+
+
+@query("SELECT s_suppkey, n_name AS text, 'Nation' AS entity_type, 9 AS start, CAST(9 + length(n_name) AS INTEGER) AS \"end\", 0.85 AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey, r_name, 'Region', CAST(15 + length(n_name) AS INTEGER), CAST(15 + length(n_name) + length(r_name) AS INTEGER), 0.85 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def dictionary_scan(spark, d):
+    s, n, r = (model.read(spark, d, x) for x in ("supplier", "nation", "region"))
+    names = {x["n_name"]: "Nation" for x in n.select("n_name").collect()} | {x["r_name"]: "Region" for x in r.select("r_name").collect()}
+    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    text_of = F.concat(F.lit("ships to "), "n_name", F.lit(" from "), "r_name")
+    return rows.select("s_suppkey", F.explode(extract.dictionary_mentions(text_of, names)).alias("m")).select("s_suppkey", "m.*")
+
+
+@query("SELECT n_nationkey, n_name AS head, 'part_of' AS relation, r_name AS tail, 0.7 AS confidence, true AS resolved FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, n_name, 'near', 'e9', 1.0, false FROM nation JOIN region ON n_regionkey = r_regionkey")
+def envelope_relations(spark, d):
+    rows = model.read(spark, d, "nation").join(model.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = F.concat(F.lit('```json {"entities": [{"id": "e1", "name": "'), "n_name", F.lit('"}, {"id": "e2", "name": "'), "r_name", F.lit('"}], "relations": [{"head": "e1", "relation": "part_of", "tail": "e2", "confidence": 0.7}, {"head": "e1", "relation": "near", "tail": "e9"}]} ```'))
+    return envelope.named_relations(rows.select("n_nationkey", envelope.parse(raw).alias("e")), "n_nationkey", "e")
+
+
+_PAIRS = "p AS (SELECT DISTINCT l_partkey AS head, l_suppkey AS tail, CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS relation FROM lineitem)"
+
+
+def _positives(spark, d):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "a").when(F.col("l_linenumber") % 3 == 1, "b").otherwise("c")
+    return model.read(spark, d, "lineitem").select(F.col("l_partkey").alias("head"), F.col("l_suppkey").alias("tail"), kind.alias("relation")).distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT p.tail AS head, p.head AS tail, 'none' AS relation FROM p WHERE NOT EXISTS (SELECT 1 FROM p t WHERE t.head = p.tail AND t.tail = p.head)")
+def reversed_negatives(spark, d):
+    return evaluate.reversed_negatives(_positives(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT head, tail, list_filter(['a', 'b', 'c'], lambda x: x <> relation)[CAST(CAST('0x' || substr(md5('7|' || head || '|' || tail), 1, 8) AS BIGINT) % 2 AS INTEGER) + 1] AS relation FROM p")
+def near_misses(spark, d):
+    return evaluate.near_misses(_positives(spark, d), ("a", "b", "c"))
+
+
+@query("WITH c AS (SELECT n_regionkey AS label, count(*) AS n FROM nation GROUP BY 1) SELECT n_nationkey, n_regionkey, unnest(range(0, CAST(greatest(ceil(20 / n), 1) AS BIGINT))) AS copy FROM nation JOIN c ON label = n_regionkey")
+def augmented_classes(spark, d):
+    return evaluate.augmented(model.read(spark, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", 20)
+
+
+@query("WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'toxic' ELSE 'none' END AS label, doc_id % 2 AS priority FROM labels), m AS (SELECT CAST(floor(0.2 * avg(n)) AS BIGINT) AS most FROM (SELECT count(*) AS n FROM r WHERE label <> 'none' GROUP BY label)), k AS (SELECT *, row_number() OVER (ORDER BY priority, md5('7' || doc_id), doc_id) AS i FROM r WHERE label = 'none') SELECT doc_id, label, priority FROM r WHERE label <> 'none' UNION ALL SELECT doc_id, label, priority FROM k, m WHERE i <= most")
+def capped_none(spark, d):
+    kind = F.when(F.col("quality") == 1, "good").when(F.col("toxic") == 1, "toxic").otherwise("none")
+    rows = model.read(spark, d, "labels").select("doc_id", kind.alias("label"), (F.col("doc_id") % 2).alias("priority"))
+    return evaluate.capped(rows, "label", "doc_id", times=0.2)

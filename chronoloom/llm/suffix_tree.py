@@ -1,23 +1,24 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Counts come from every training text. A symbol is a word whose share of training tokens is at least WORD_SHARE (so at
-most 1 / WORD_SHARE exist, at any size of input); all other words share one symbol, inside which a word's probability
-follows its own add-one count. The tree's root is the add-one unigram distribution. A context of one or two symbols
-is a candidate where its share of tokens is at least CONTEXT_SHARE, and becomes a state if its next-symbol
-distribution diverges from that of its longest retained suffix by at least DIVERGENCE nats. A state's distribution
-keeps the counts of next symbols of joint share JOINT_SHARE or more and smooths the rest, plus PRIOR observations,
-with its suffix's. Each token is scored in the longest state that its predecessors end in.
-
-The tree is bounded by these shares, so it is broadcast; the counts of rarer words, which grow with the corpus, stay
-distributed and meet the texts' words in one join, in which by construction no key is frequent. Words are compared by
-64-bit hash: with ten billion distinct words under three pairs are expected to share one.
+Counts come from every training text. The tree's root is the add-one unigram distribution. A string of two or more
+words (a text begins with a mark and finishes with its end) is kept from LEAST occurrences, at any size of input. What
+stands before the last word of a kept string is a context of one to DEPTH words; it becomes a state if its next-word
+distribution diverges from that of its suffix by at least DIVERGENCE nats. A state's distribution keeps the counts of
+its kept strings and smooths the rest, plus PRIOR observations, with its suffix's. Each token is scored in the longest
+state that its predecessors end in.
+
+A text's score is a sum over its strings: every word, kept string and state has one weight (``weights``), so the tree,
+which grows with the corpus, stays a table that meets the texts in one join. Strings of at least HOT_SHARE of all
+tokens, at most DEPTH + 1 times 1 / HOT_SHARE of them, are looked up beforehand and so are no frequent keys of the join.
+Strings that no sieve of fixed size has seen are not sent; what it lets through in error finds nothing in the join.
+Words and strings are compared by 64-bit hash: with ten billion distinct ones under three pairs are expected to share one.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
-WORD_SHARE = 2e-6
-CONTEXT_SHARE = 1e-4
-JOINT_SHARE = 2e-5
+LEAST = 5
+#: Words of the longest context.
+DEPTH = 2
 DIVERGENCE = 0.02
 PRIOR = 20.0
-#: Distinct keys that a task counts before it sends them on.
+#: Strings of this share of all tokens are looked up in the tasks that read the texts, not in the join.
+HOT_SHARE = 2e-6
+#: Contexts of this share of all tokens are broadcast when they meet their own strings.
+CONTEXT_SHARE = 1e-4
+#: Bits of a sieve. More strings than this only let more rows through.
+SIEVE_BITS = 1 << 26
+#: Distinct words that a task counts or remembers, and strings that it counts, before it sends or forgets them.
 FLUSH = 400_000
+FLUSH_GRAMS = 1_500_000
 END = b""  # no word is empty
+START = b" "  # and none has a blank
 
 
 def word_hash(word: bytes) -> int:
@@ -42,7 +51,7 @@ def word_hash(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-END_HASH = word_hash(END)
+END_HASH, START_HASH = word_hash(END), word_hash(START)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -50,6 +59,21 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def joined_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(x, y)`` of two int64 arrays."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda a, n: (a << np.uint64(n)) | (a >> np.uint64(64 - n))
+    h = np.full(len(x), 42, np.uint64)
+    for value in (x, y):
+        h = h + p5 + np.uint64(8)
+        h ^= turned(value.view(np.uint64) * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _count_words(batches):
     counts: Counter[bytes] = Counter()
     ends = 0
@@ -69,82 +93,71 @@ def _count_words(batches):
     yield flush()
 
 
-@dataclass
-class Alphabet:
-    """Symbol 0 is any word without a symbol of its own; symbols 1, 2, .. fall in frequency."""
-
-    symbol: dict[int, int]
-    counts: np.ndarray  # by symbol; 0 for symbol 0
-    n: int
-    v: int
-
-    @property
-    def size(self) -> int:
-        return len(self.counts)
-
-    @property
-    def end(self) -> int:
-        return self.symbol[END_HASH]
-
-    def most(self, share: float) -> int:
-        """Symbols 1 .. this have at least ``share`` of all tokens."""
-        return int((self.counts[1:] >= share * self.n).sum())
-
-
-class _Symbols(dict):
-    def __init__(self, symbol: dict[int, int]):
-        super().__init__()
-        self.symbol = symbol
-
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > FLUSH:
             self.clear()
-        value = self[word] = self.symbol.get(word_hash(word), 0)
+        value = self[word] = word_hash(word)
         return value
 
 
-def _symbol_rows(texts: pa.Array, known: _Symbols, end: int):
-    """Symbols of many texts in one array, each text behind two ends and before one; and each text's words."""
-    rows, words = [], []
+def _hash_rows(texts: pa.Array, known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts in one array, each text between a start and an end; places; texts' lengths."""
+    rows = []
     for text in texts.cast(pa.binary()):
         own = words_of(text.as_py())
-        row = np.empty(len(own) + 3, np.int64)
-        row[:2] = row[-1] = end
-        row[2:-1] = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+        row = np.empty(len(own) + 2, np.int64)
+        row[0], row[-1] = START_HASH, END_HASH
+        row[1:-1] = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
         rows.append(row)
-        words.append(own)
-    return rows, words
+    lengths = np.array([len(r) for r in rows], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return np.concatenate(rows), np.arange(lengths.sum()) - np.repeat(starts, lengths), lengths
+
 
+def _longer(keys: np.ndarray) -> np.ndarray:
+    """From the hashes of the strings that end at each place, those of the strings one word longer."""
+    return np.concatenate([keys[:1], joined_hash(keys[:-1], keys[1:])])
 
-def _count_grams(shipped, length: int, contexts):
-    """Counts of (context, symbol): the context is ``length`` symbols from ``contexts`` (sorted codes, broadcast)."""
+
+def _sieve(table: DataFrame, key: str) -> np.ndarray:
+    """A bit array of fixed size in which every key of ``table`` has its bit."""
+    bit = F.col(key).bitwiseAND(SIEVE_BITS - 1)
+    found = table.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63L as int))").alias("bit"))
+    rows = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (SIEVE_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _count_grams(length: int, shipped):
+    """Counts of strings of ``length`` words by the hashes of all but the last (x) and all but the first word (y)."""
 
     def run(batches):
-        alphabet, wanted = shipped.value, contexts.value
-        known, size, most = _Symbols(alphabet.symbol), alphabet.size, alphabet.most(JOINT_SHARE)
-        kept: list[np.ndarray] = []
+        bits, known = shipped.value, _Hashes()
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
-        allowed = np.zeros(size, bool)
-        allowed[wanted % size] = True
 
         def flush():
-            codes, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.empty(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+            x, y = (np.concatenate([k[i] for k in kept]) if kept else np.empty(0, np.int64) for i in (0, 1))
+            _, first, n = np.unique(joined_hash(x, y), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(n, pa.int64())], ["x", "y", "n"])
 
         for batch in batches:
-            rows, _ = _symbol_rows(batch.column("text"), known, alphabet.end)
-            for at in range(0, len(rows), 256):
-                flat = np.concatenate(rows[at : at + 256])
-                real = np.concatenate([np.arange(len(r)) >= 2 for r in rows[at : at + 256]])
-                spots = np.flatnonzero(real & ((flat <= most) | (flat == alphabet.end)))
-                spots = spots[allowed[flat[spots - 1]]]
-                code = flat[spots - 1] if length == 1 else flat[spots - 2] * size + flat[spots - 1]
-                if length == 2:
-                    found = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-                    spots, code = spots[wanted[found] == code], code[wanted[found] == code]
-                kept.append(code * size + flat[spots])
+            for at in range(0, batch.num_rows, 256):
+                keys, places, _ = _hash_rows(batch.column("text").slice(at, 256), known)
+                for _ in range(length - 2):
+                    keys = _longer(keys)
+                often = _passes(bits, keys)
+                spots = np.flatnonzero(often[1:] & often[:-1] & (places[1:] >= length - 1)) + 1
+                kept.append((keys[spots - 1], keys[spots]))
                 held += len(spots)
-                if held > 4_000_000:
+                if held > FLUSH_GRAMS:
                     yield flush()
                     kept, held = [], 0
         yield flush()
@@ -152,152 +165,110 @@ def _count_grams(shipped, length: int, contexts):
     return run
 
 
-@dataclass
-class Tree:
-    """States by context code, and the kept next-symbol shares of each, by code * size + symbol."""
-
-    alphabet: Alphabet
-    root: np.ndarray  # probability by symbol
-    codes: list[np.ndarray]  # sorted, for contexts of 1 and of 2 symbols
-    backs: list[np.ndarray]  # weight of the suffix's distribution, by state
-    entries: list[np.ndarray]
-    shares: list[np.ndarray]
-    rest: float  # sum of count + 1 over the words of symbol 0, and 1 for unseen words
-
-    def probabilities(self, before2: np.ndarray, before1: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        p, size = self.root[symbol], self.alphabet.size
-        for depth, context in enumerate((before1, before2 * size + before1)):
-            codes, entries = self.codes[depth], self.entries[depth]
-            if not len(codes):
-                continue
-            ends = np.zeros(size, bool)
-            ends[codes % size] = True
-            spots = np.flatnonzero(ends[before1])
-            at = np.minimum(np.searchsorted(codes, context[spots]), len(codes) - 1)
-            hit = codes[at] == context[spots]
-            spots, at = spots[hit], at[hit]
-            grams = context[spots] * size + symbol[spots]
-            found = np.minimum(np.searchsorted(entries, grams), max(len(entries) - 1, 0))
-            own = np.where(entries[found] == grams, self.shares[depth][found], 0.0) if len(entries) else 0.0
-            p[spots] = own + self.backs[depth][at] * p[spots]
-        return p
-
-
-def _grow(tree: Tree, depth: int, totals: dict[int, int], grams: np.ndarray, counts: np.ndarray) -> None:
-    """Add the states of one depth. ``totals``: occurrences of each candidate context; ``grams`` sorted."""
-    size = tree.alphabet.size
-    codes, backs, entries, shares = [], [], [], []
-    contexts = grams // size
-    starts = np.searchsorted(contexts, sorted(totals))
-    ends = np.searchsorted(contexts, sorted(totals), side="right")
-    for code, lo, hi in zip(sorted(totals), starts.tolist(), ends.tolist(), strict=True):
-        total = float(totals[code])
-        symbols, n = grams[lo:hi] % size, counts[lo:hi].astype(float)
-        if not len(symbols):
-            continue
-        first = code // size if depth else tree.alphabet.end
-        known = tree.probabilities(np.full(len(symbols), -1 if depth else first), np.full(len(symbols), code % size), symbols) if depth else tree.root[symbols].copy()
-        left = max(total - n.sum(), 0.0)
-        other = max(1.0 - known.sum(), 1e-12)
-        own = n / total
-        gap = float((own * np.log(own / known)).sum()) + (left / total * math.log(left / total / other) if left > 0 else 0.0)
-        if gap < DIVERGENCE:
-            continue
-        codes.append(code)
-        backs.append((left + PRIOR) / (total + PRIOR))
-        entries.append(grams[lo:hi])
-        shares.append(n / (total + PRIOR))
-    tree.codes[depth] = np.array(codes, np.int64)
-    tree.backs[depth] = np.array(backs, float)
-    tree.entries[depth] = np.concatenate(entries) if entries else np.empty(0, np.int64)
-    tree.shares[depth] = np.concatenate(shares) if shares else np.empty(0)
-
-
-def _collect(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and counts of at least ``least``: a share of all tokens, so their number is bounded."""
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(codes)
-    return codes[order], n[order]
-
-
-def learn(training: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (h, c) of word counts, of the texts of ``training``."""
+def _met(rows: DataFrame, table: DataFrame, key: str, often: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` on ``key``; entries that are ``often``, of which there are few, are broadcast."""
+    few = table.where(often)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~often), key, how)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
+def weights(training: DataFrame) -> tuple[DataFrame, int, int]:
+    """Table (h, n, c, w) of the texts of ``training``, their tokens and distinct words.
+
+    A row is a word (c its count, else 0) or a longer string, or the start. w is what it adds to the base-10 log
+    probability of a text beside the words' own: as a kept string, what its count changes in the probability of its
+    last word; as a state, the weight left to its suffix at the next word. n: occurrences.
+    """
     spark = training.sparkSession
     texts = training.select("text")
     counts = materialize(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where((F.col("c") >= WORD_SHARE * n) | (F.col("h") == END_HASH)).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    hashes, seen = top["h"].tolist(), top["c"].tolist()
-    if END_HASH not in hashes:
-        hashes, seen = [*hashes, END_HASH], [*seen, 0]
-    alphabet = Alphabet({h: i for i, h in enumerate(hashes, 1)}, np.array([0, *seen], np.int64), int(n), int(v))
-    denominator = float(n + v + 1)
-    root = (alphabet.counts + 1.0) / denominator
-    rest = max(denominator - float((alphabet.counts[1:] + 1).sum()), 1.0)
-    root[0] = rest / denominator
-    none = np.empty(0, np.int64)
-    tree = Tree(alphabet, root, [none, none], [none, none], [none, none], [none, none], rest)
-    if n:
-        shipped = spark.sparkContext.broadcast(alphabet)
-        single = np.arange(1, alphabet.most(CONTEXT_SHARE) + 1)
-        single = np.union1d(single, [alphabet.end]).astype(np.int64)
-        run = _count_grams(shipped, 1, spark.sparkContext.broadcast(single))
-        grams, gram_counts = _collect(texts.mapInArrow(run, "code long, n long"), JOINT_SHARE * n)
-        _grow(tree, 0, {int(c): int(alphabet.counts[c]) for c in single}, grams, gram_counts)
-        often = gram_counts >= CONTEXT_SHARE * n
-        double = {int(g): int(c) for g, c in zip(grams[often], gram_counts[often], strict=True) if g % alphabet.size != alphabet.end}
-        if double:
-            run = _count_grams(shipped, 2, spark.sparkContext.broadcast(np.array(sorted(double), np.int64)))
-            grams, gram_counts = _collect(texts.mapInArrow(run, "code long, n long"), JOINT_SHARE * n)
-            _grow(tree, 1, double, grams, gram_counts)
-    return tree, counts
+    start = counts.where(F.col("h") == END_HASH).select(F.lit(START_HASH).alias("key"), F.col("c").alias("n"), F.lit(0.0).alias("lp"))
+    below = counts.select(F.col("h").alias("key"), F.col("c").alias("n"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("lp")).unionByName(start)
+    parts = [counts.select("h", F.col("c").alias("n"), "c", F.lit(0.0).alias("w"))]
+    parts.append(start.select(F.col("key").alias("h"), "n", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("w")))
+    used = [counts]
+    for length in range(2, DEPTH + 2):
+        shipped = spark.sparkContext.broadcast(_sieve(below.where(F.col("n") >= LEAST), "key"))
+        grams = texts.mapInArrow(_count_grams(length, shipped), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        grams = materialize(grams)
+        shipped.unpersist()
+        rows = _met(grams, below.select(F.col("key").alias("x"), F.col("n").alias("total")), "x", F.col("total") >= CONTEXT_SHARE * n)
+        rows = _met(rows, below.select(F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("lp").alias("low")), "y", F.col("y_n") >= CONTEXT_SHARE * n)
+        rows = materialize(rows.drop("y_n"))
+        own, low = F.col("n") / F.col("total"), F.pow(F.lit(10.0), "low")
+        sums = rows.groupBy("x").agg(F.max("total").alias("total"), F.sum("n").alias("kept"), F.sum(own * F.log(own / low)).alias("gap"), F.sum(low).alias("known"))
+        left = F.col("total") - F.col("kept")
+        other = F.greatest(1.0 - F.col("known"), F.lit(1e-12))
+        gap = F.col("gap") + F.when(left > 0, left / F.col("total") * F.log(left / F.col("total") / other)).otherwise(0.0)
+        states = materialize(sums.where(gap >= DIVERGENCE).select("x", F.col("total").alias("x_n"), ((left + PRIOR) / (F.col("total") + PRIOR)).alias("back")))
+        found = _met(rows, states, "x", F.col("x_n") >= CONTEXT_SHARE * n, "left")
+        lp = F.when(F.col("back").isNull(), F.col("low")).otherwise(F.log10(F.col("n") / (F.col("total") + PRIOR) + F.col("back") * low))
+        level = found.select(F.xxhash64("x", "y").alias("key"), "n", lp.alias("lp"), F.when(F.col("back").isNull(), 0.0).otherwise(lp - F.col("low") - F.log10("back")).alias("w"))
+        below = materialize(level)
+        parts.append(below.select(F.col("key").alias("h"), "n", F.lit(0).cast("long").alias("c"), "w"))
+        parts.append(states.select(F.col("x").alias("h"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.log10("back").alias("w")))
+        used += [grams, rows, states, below]
+    table = materialize(reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w")))
+    for frame in used:
+        discard(frame)
+    return table, int(n), int(v)
 
 
 def _score_rows(shipped):
-    """Per text one row with its sums, and one row for each of its words without a symbol of their own.
+    """Per text one row with its sums over hot strings, and one row for each other word and each other string.
 
     The key ``h`` of a text's own row is a hash of its row number, so these rows spread over the join's tasks; ``tf``
     null tells them apart.
     """
 
     def run(batches):
-        tree: Tree = shipped.value
-        alphabet = tree.alphabet
-        known = _Symbols(alphabet.symbol)
-        base = np.log10(alphabet.counts + 1.0)
-        base[0] = 0.0
+        hot, hot_c, hot_w, bits = shipped.value
+        known = _Hashes()
+        hot_log = np.log10(hot_c + 1.0)
+
+        def lookup(keys):
+            at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+            return at, (hot[at] == keys if len(hot) else np.zeros(len(keys), bool))
+
         for batch in batches:
-            rids, ids = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
+            rids, ids = batch.column("rid").to_numpy(), batch.column("doc_id")
             for at in range(0, batch.num_rows, 256):
-                rows, words = _symbol_rows(batch.column("text").slice(at, 256), known, alphabet.end)
-                flat = np.concatenate(rows)
-                lengths = np.array([len(r) for r in rows])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                real = np.ones(len(flat), bool)
-                real[starts] = real[starts + 1] = False
-                spots = np.flatnonzero(real)
-                p = tree.probabilities(flat[spots - 2], flat[spots - 1], flat[spots])
-                cuts = np.concatenate([[0], np.cumsum(lengths - 2)[:-1]])
-                model = np.add.reduceat(np.log10(p), cuts)
-                plain = np.add.reduceat(base[flat[spots]], cuts)
-                other = np.add.reduceat((flat[spots] == 0).astype(np.int64), cuts)
-                h, rid, tf, doc, length, others, plain_sum, model_sum = ([] for _ in range(8))
-                for k, (row, own) in enumerate(zip(rows, words, strict=True)):
-                    rare = Counter([own[i] for i in np.flatnonzero(row[2:-1] == 0).tolist()])
-                    n = len(rare)
-                    h += [word_hash(w) for w in rare]
-                    tf += rare.values()
-                    h.append(word_hash(b"%d" % rids[at + k]))
-                    tf.append(None)
-                    rid += [rids[at + k]] * (n + 1)
-                    for column, value in ((doc, ids[at + k]), (length, len(own) + 1), (others, int(other[k])), (plain_sum, float(plain[k])), (model_sum, float(model[k]))):
-                        column += [None] * n
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h, pa.int64()), pa.array(rid, pa.int64()), pa.array(tf, pa.int32()), pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(length, pa.int64()), pa.array(others, pa.int64()), pa.array(plain_sum, pa.float64()), pa.array(model_sum, pa.float64())], names=["doc_id", "n", "o", "b", "m"], mask=pa.array([x is not None for x in tf]))],
-                    ["h", "rid", "tf", "own"],
-                )
+                keys, places, lengths = _hash_rows(batch.column("text").slice(at, 256), known)
+                k = len(lengths)
+                text = np.repeat(np.arange(k), lengths)
+                plain, model, others = np.zeros(k), np.zeros(k), np.zeros(k, np.int64)
+                far_keys, far_texts = [], []
+                for length in range(1, DEPTH + 2):
+                    if length == 1:
+                        spots = np.arange(len(keys))
+                    else:
+                        keys = _longer(keys)
+                        spots = np.flatnonzero((places >= length - 1) & _passes(bits, keys))
+                    found, hit = lookup(keys[spots])
+                    near, found = spots[hit], found[hit]
+                    model += np.bincount(text[near], hot_w[found], k)
+                    far = spots[~hit]
+                    if length == 1:
+                        plain += np.bincount(text[near], hot_log[found], k)
+                        far = far[places[far] > 0]
+                        others += np.bincount(text[far], minlength=k)
+                    far_keys.append(keys[far])
+                    far_texts.append(text[far])
+                h, owner = np.concatenate(far_keys), np.concatenate(far_texts)
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.empty(0, np.int64)
+                tf = np.diff(np.append(first, len(h)))
+                m = len(first)
+                rid = rids[at : at + k]
+                h = np.concatenate([h[first], [word_hash(b"%d" % r) for r in rid]]).astype(np.int64)
+                blank = np.arange(m + k) < m
+                column = lambda x, kind: pa.array(np.concatenate([np.zeros(m, x.dtype), x]), kind, mask=blank)  # noqa: E731, B023
+                doc = pa.concat_arrays([pa.nulls(m, pa.int64()), ids.slice(at, k).cast(pa.int64())])
+                own = pa.StructArray.from_arrays([doc, column(lengths - 1, pa.int64()), column(others, pa.int64()), column(plain, pa.float64()), column(model, pa.float64())], names=["doc_id", "n", "o", "b", "m"], mask=pa.array(blank))
+                tf = pa.array(np.concatenate([tf, np.zeros(k, np.int64)]), pa.int32(), mask=~blank)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate([rid[owner[first]], rid]), pa.int64()), tf, own], ["h", "rid", "tf", "own"])
 
     return run
 
@@ -312,28 +283,31 @@ def score_corpus(documents: DataFrame) -> DataFrame:
     Learns from the rows that are not held out. A null text is empty and has one token, its end; a null doc_id is not
     held out; repeated rows count as often as they occur and are scored one by one. Other columns are not read.
     """
-    tree, counts = learn(documents.where(~held_out(F.col("doc_id"))).select("text"))
-    alphabet = tree.alphabet
+    table, n, v = weights(documents.where(~held_out(F.col("doc_id"))).select("text"))
     spark = documents.sparkSession
+    often = (F.col("n") >= HOT_SHARE * n) | F.col("h").isin(START_HASH, END_HASH)
+    weighty = (F.col("c") > 0) | (F.col("w") != 0)
+    top = table.where(often & weighty).toArrow().sort_by("h")
+    bits = _sieve(table.where((F.col("c") == 0) & weighty), "h")
+    shipped = spark.sparkContext.broadcast((*(top[x].to_numpy() for x in ("h", "c", "w")), bits))
     numbered = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    rows = numbered.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), "h long, rid long, tf int, own struct<doc_id:long,n:long,o:long,b:double,m:double>")
-    rarer = counts.where(F.col("c") < WORD_SHARE * alphabet.n).select(F.col("h").alias("ch"), "c")
+    rows = numbered.mapInArrow(_score_rows(shipped), "h long, rid long, tf int, own struct<doc_id:long,n:long,o:long,b:double,m:double>")
+    rarer = table.where(~often & weighty).select(F.col("h").alias("ch"), "c", "w")
     met = rows.hint("merge").join(rarer, (F.col("h") == F.col("ch")) & F.col("tf").isNotNull(), "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("rid").agg(
-        F.sum(F.col("tf") * F.log10(c + 1.0)).alias("rare"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("tf") * F.log10(c + 1.0)).alias("rare"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * F.col("w")).alias("far"),
         F.max("own.doc_id").alias("doc_id"), F.max("own.n").alias("n"), F.max("own.o").alias("o"), F.max("own.b").alias("b"), F.max("own.m").alias("m"),
     )
-    rare = F.coalesce("rare", F.lit(0.0))
-    end_known = 0 if alphabet.counts[alphabet.end] else 1
+    base = F.col("b") + F.coalesce("rare", F.lit(0.0)) - F.col("n") * math.log10(n + v + 1)
     return sums.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("n") - F.col("o") + F.coalesce("rare_known", F.lit(0)) - end_known).alias("n_known"),
-        F.lit(alphabet.n).cast("long").alias("train_tokens"),
-        (F.col("b") + rare - F.col("n") * math.log10(alphabet.n + alphabet.v + 1)).alias("base_score"),
-        (F.col("m") + rare - F.col("o") * math.log10(tree.rest)).alias("score"),
+        (F.col("n") - F.col("o") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("m") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 

@@ -215,3 +215,58 @@ def test_repeated_rows_share_a_fingerprint(spark):
     for r in got:
         if r["doc_id"] == 7:  # the next place holds doc 3, whose text is the same
             assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"a b b c c c a b b").hexdigest()
+
+
+def test_suffix_tree_equals_brute_force_and_keeps_strings_of_a_large_corpus(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    # 400,000 words: a string seen 9 times is far below 2e-5 of them, a context far below 1e-4
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.8 else f"u{rng.randrange(10**7)}" for _ in range(400)) for _ in range(1000)]
+    texts += [f"{rng.choice(common)} quick brown fox jumps {rng.choice(common)}" for _ in range(14)] + [None, ""]
+    rows = {r["doc_id"]: r for r in suffix_tree.score_corpus(frame(spark, texts)).collect()}
+    lines = [[b"<s>", *(t or "").encode().split(), b""] for t in texts]
+    counts = [Counter() for _ in range(4)]
+    for i, ws in enumerate(lines):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for k in (1, 2, 3):
+                counts[k].update(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1))
+    n, v = (f(c for g, c in counts[1].items() if g != (b"<s>",)) for f in (sum, lambda x: len(list(x))))
+    state: dict[tuple, tuple[float, dict]] = {}
+
+    def p(context, word):
+        if not context:
+            return (counts[1][(word,)] + 1) / (n + v + 1)
+        low = p(context[1:], word)
+        if context not in state:
+            return low
+        left, kept = state[context]
+        total = counts[len(context)][context] + suffix_tree.PRIOR
+        return kept.get(word, 0) / total + (left + suffix_tree.PRIOR) / total * low
+
+    for k in (2, 3):
+        children: dict[tuple, dict] = {}
+        for g, c in counts[k].items():
+            if c >= suffix_tree.LEAST:
+                children.setdefault(g[:-1], {})[g[-1]] = c
+        fresh = {}
+        for context, kept in children.items():
+            total = counts[k - 1][context]
+            left, low = total - sum(kept.values()), {w: p(context[1:], w) for w in kept}
+            gap = sum(c / total * np.log(c / total / low[w]) for w, c in kept.items())
+            gap += left / total * np.log(left / total / max(1 - sum(low.values()), 1e-12)) if left else 0
+            if gap >= suffix_tree.DIVERGENCE:
+                fresh[context] = left, kept
+        state.update(fresh)
+    assert (b"brown",) in state and (b"brown", b"fox") in state or (b"quick", b"brown") in state
+    for i in [*range(0, 1000, 50), *range(1000, len(texts))]:
+        ws = lines[i]
+        want = sum(np.log10(p(tuple(ws[max(j - 2, 0) : j]), ws[j])) for j in range(1, len(ws)))
+        assert rows[i]["score"] == pytest.approx(want, abs=1e-6)
+    phrase = [rows[i] for i in range(1000, 1014)]
+    assert all(r["score"] - r["base_score"] > 5 for r in phrase)
+
+
+def test_joined_hash_is_the_engines(spark):
+    x = np.array([0, 1, -1, 2**63 - 1, -(2**63), 12345678901], np.int64)
+    got = spark.createDataFrame([(int(a), int(b)) for a in x for b in x], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    assert all(suffix_tree.joined_hash(np.array([r["a"]]), np.array([r["b"]]))[0] == r["h"] for r in got)

@@ -4,26 +4,32 @@ Time is cut into slots of one block each. Block j of a source with weight w may
 must end by slot ceil(j / w); in every slot, of the released blocks the one with the earliest deadline runs. While all
 sources last, each source's share then stays within less than one block of w times the slots so far.
 
-Weights are whole numbers of slots in a period, so the schedule repeats: the driver works out one period (its length
-is a parameter, not a matter of the data), and every block finds its slot from the period by arithmetic. When a source
-has run out its slots stay empty, and the others keep their order. No document is dropped or repeated.
+Weights are exact rationals, whatever their size, so no weight is rounded and nothing adds up over a long run. One task
+works out the slots of all blocks in turn, in memory for the sources alone, and writes them; documents meet their block
+in a join. When a source has run out its slots stay empty. No document is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of one period: weights are rounded to this many parts. More sources than half of it make it longer.
+from .shared import materialize
+
+#: Slots of one period of a plan that repeats, as whole_weights rounds to. mix does not round.
 PERIOD = 1000
 #: Documents in a block.
 BLOCK_DOCS = 16
 #: Documents aimed at in one bucket of the ranking inside a source.
 BUCKET_DOCS = 4000
-#: Sources beyond which the table of weights is refused: each is one entry of a plan on the driver.
+#: Sources beyond which the table of weights is refused: each is one entry of a list on the driver.
 MOST_SOURCES = 100_000
 
 
@@ -47,20 +53,53 @@ def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) ->
 def period_plan(slots: Mapping[str | None, int], period: int) -> list[tuple[str | None, int, int, int, int]]:
     """(source, block, release, deadline, slot) of one period under earliest deadline first."""
     order = sorted(slots, key=lambda s: (s is None, str(s)))
-    window = lambda k, j: ((j * period) // slots[order[k]], -(-((j + 1) * period) // slots[order[k]]))
-    waiting = [(0, k, 0) for k in range(len(order))]
+    parts = [slots[s] for s in order]
+    return [(order[k], *rest) for k, *rest in schedule(parts, period, parts)]
+
+
+def exact_parts(weights: Sequence[float]) -> tuple[list[int], int]:
+    """Whole numbers in exactly the ratios of ``weights``, and their sum."""
+    if any(not w > 0 for w in weights):
+        raise ValueError("weights must be above 0")
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    parts = [w.numerator * (scale // w.denominator) for w in exact]
+    return parts, sum(parts)
+
+
+def schedule(parts: Sequence[int], total: int, blocks: Sequence[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source's place, block, release, deadline, slot) of the blocks that exist, in order of slots.
+
+    Earliest deadline first. Weight parts[k] / total; a slot for which no block is released stays empty.
+    """
+    release = lambda k, j: (j * total) // parts[k]
+    due = lambda k, j: -(-((j + 1) * total) // parts[k])
+    waiting = [(0, k, 0) for k in range(len(parts)) if blocks[k]]
     ready: list[tuple[int, int, int]] = []
-    plan = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(k, j)[1], k, j))
+            heapq.heappush(ready, (due(k, j), k, j))
         deadline, k, j = heapq.heappop(ready)
         assert slot < deadline, "earliest deadline first missed a deadline"
-        plan.append((order[k], j, window(k, j)[0], deadline, slot))
-        if j + 1 < slots[order[k]]:
-            heapq.heappush(waiting, (window(k, j + 1)[0], k, j + 1))
-    return plan
+        yield k, j, release(k, j), deadline, slot
+        if j + 1 < blocks[k]:
+            heapq.heappush(waiting, (release(k, j + 1), k, j + 1))
+        slot += 1
+
+
+def _plan_rows(parts: Sequence[int], total: int, blocks: Sequence[int]):
+    def run(batches):
+        for _ in batches:
+            pass
+        rows = schedule(parts, total, blocks)
+        while some := list(itertools.islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["p_k", "p_block", "p_release", "p_deadline", "p_slot"])
+
+    return run
 
 
 def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.7) -> dict[str | None, float]:
@@ -80,11 +119,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], key: str = "doc_id
     a third of all rows is ranked by as many tasks as its rows need. Deadlines and slots are counted from 0.
     """
     spark = docs.sparkSession
-    slots, period = whole_weights(weights) if weights else ({}, PERIOD)
-    plan = spark.createDataFrame(period_plan(slots, period) if slots else [], "p_source string, p_block long, p_release long, p_deadline long, p_slot long")
-    plan = plan.withColumn("p_count", F.count("*").over(Window.partitionBy("p_source"))).withColumn("p_period", F.lit(period).cast("long"))
+    order = sorted(weights, key=lambda s: (s is None, str(s)))
+    parts, total = exact_parts([weights[s] for s in order])
+    rows = dict(docs.groupBy(F.col(source).cast("string")).count().collect())
+    if rows.keys() - set(order):
+        raise ValueError("a source has no weight")
+    blocks = [-(-rows.get(s, 0) // block_docs) for s in order]
+    plan = materialize(spark.range(0, 1, 1, 1).mapInArrow(_plan_rows(parts, total, blocks), "p_k long, p_block long, p_release long, p_deadline long, p_slot long"))
     columns = docs.columns
-    n_buckets = max(1, -(-docs.count() // BUCKET_DOCS))
+    n_buckets = max(1, -(-sum(rows.values()) // BUCKET_DOCS))
     hashed = F.xxhash64(F.lit(seed), F.col(key))
     keyed = docs.select(F.struct(*columns).alias("row"), F.col(source).cast("string").alias("s"), hashed.alias("h"), F.col(key).alias("k"))
     # high bits choose the bucket, so buckets are ranges of the hash
@@ -97,15 +140,12 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], key: str = "doc_id
     ranked = ranked.join(starts, ranked["s"].eqNullSafe(starts["s2"]) & (ranked["bucket"] == starts["bucket2"]), "left")
     rank = F.col("start") + F.col("r")
     placed = ranked.select("row", "s", F.floor(rank / block_docs).alias("block"), (rank % block_docs).alias("offset"))
-    # the plan has at most `period` rows, which does not grow with the data
-    count = F.broadcast(plan.select(F.col("p_source").alias("c_source"), "p_count").distinct())
-    placed = placed.join(count, placed["s"].eqNullSafe(count["c_source"]), "left")
-    placed = placed.select("row", "s", "block", "offset", F.assert_true(F.col("p_count").isNotNull(), F.lit("a source has no weight")).alias("ok"), F.pmod("block", "p_count").alias("in_period"), F.floor(F.col("block") / F.col("p_count")).alias("turn"))
-    placed = placed.join(F.broadcast(plan), placed["s"].eqNullSafe(plan["p_source"]) & (placed["in_period"] == plan["p_block"]), "left")
-    base = F.col("turn") * period
-    slot = base + F.col("p_slot")
-    made = F.struct(F.col("block"), (base + F.col("p_release")).alias("release"), (base + F.col("p_deadline")).alias("deadline"), slot.alias("slot"), (slot * block_docs + F.col("offset")).alias("position"))
-    return placed.where(F.col("ok").isNull()).select("row.*", made.alias("mix"))
+    places = spark.createDataFrame([(s, k) for k, s in enumerate(order)], "k_source string, k long")
+    placed = placed.join(F.broadcast(places), placed["s"].eqNullSafe(places["k_source"]))
+    placed = placed.join(plan, (placed["k"] == plan["p_k"]) & (placed["block"] == plan["p_block"]))
+    slot = F.col("p_slot")
+    made = F.struct(F.col("block"), F.col("p_release").alias("release"), F.col("p_deadline").alias("deadline"), slot.alias("slot"), (slot * block_docs + F.col("offset")).alias("position"))
+    return placed.select("row.*", made.alias("mix"))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -270,3 +272,30 @@ def test_joined_hash_is_the_engines(spark):
     x = np.array([0, 1, -1, 2**63 - 1, -(2**63), 12345678901], np.int64)
     got = spark.createDataFrame([(int(a), int(b)) for a in x for b in x], "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
     assert all(suffix_tree.joined_hash(np.array([r["a"]]), np.array([r["b"]]))[0] == r["h"] for r in got)
+
+
+def test_mixing_keeps_to_exact_weights(spark):
+    weights = {"A": 0.7, "B": 0.3, **{f"tiny{i}": 1e-7 for i in range(400)}}
+    rows = [(i, "x", "en", "A" if i % 10 < 7 else "B", 1) for i in range(8000)] + [(8000 + i, "x", "en", f"tiny{i}", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(docs, weights, block_docs=1).select("doc_id", "source", "mix.*").collect()
+    assert {r["doc_id"] for r in got} == set(range(8400)) and len(got) == 8400 and len({r["slot"] for r in got}) == 8400
+    whole = sum(map(Fraction, weights.values()))
+    for r in got:
+        w = Fraction(weights[r["source"]]) / whole
+        assert (r["release"], r["deadline"]) == (math.floor(r["block"] / w), math.ceil((r["block"] + 1) / w)) and r["release"] <= r["slot"] < r["deadline"]
+    first = Counter(r["source"] for r in got if r["slot"] < 1000)
+    assert abs(first["A"] - 700) <= 1 and abs(first["B"] - 300) <= 1
+
+
+def test_schedule_does_not_drift_from_the_target():
+    weights = [0.62037, 0.37913, 0.0005]
+    parts, total = mixing.exact_parts(weights)
+    done = Counter()
+    for t, (k, block, _, _, slot) in enumerate(mixing.schedule(parts, total, [10**6] * 3)):
+        assert slot == t and block == done[k]
+        done[k] += 1
+        if t % 1009 == 0:
+            assert all(abs(done[i] - Fraction(p * (t + 1), total)) < 1 for i, p in enumerate(parts))
+        if t == 200_000:
+            break

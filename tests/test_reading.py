@@ -118,3 +118,30 @@ def test_generators(spark):
     none = p.withColumn("relation", F.lit("none")).withColumn("priority", F.lit(0))
     assert evaluate.capped(none, "relation", "head").count() == 3
     assert evaluate.capped(none.unionByName(p.where("head = 'c'").withColumn("priority", F.lit(0))), "relation", "head").where("relation = 'none'").count() == 2
+
+
+def test_greedy_f1_query_compares_whole_texts(spark, tmp_path):
+    from chronoloom import queries
+
+    turns = {
+        1: [("user", "the very same start, one"), ("assistant", "the very same start, two")],  # equal up to character 12 only
+        2: [("user", "short"), ("assistant", "a text that only holds SHORT behind character 12"), ("assistant", "short")],
+        3: [("user", "Where is the store?"), ("user", "store"), ("assistant", "store"), ("assistant", "where is the store? ")],
+        4: [("user", "alone")],
+        5: [("assistant", "alone")],
+    }
+    rows = [(c, i, role, text) for c, said in turns.items() for i, (role, text) in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for c, said in turns.items():
+        gold, given, hits = [t.strip().lower() for r, t in said if r == "user"], [t.strip().lower() for r, t in said if r != "user"], 0
+        taken = set()
+        for x in given:
+            for i, g in enumerate(gold):
+                if i not in taken and (x in g or g in x):
+                    taken.add(i)
+                    hits += 1
+                    break
+        want[c] = (hits, round(2 * hits / (len(gold) + len(given)), 6))
+    assert {r["conv_id"]: (r["hits"], r["f1"]) for r in queries.f1_greedy(spark, str(tmp_path)).collect()} == want
+    assert want[1] == (0, 0.0) and want[2][0] == 1

@@ -18,8 +18,9 @@ from .shared import discard, materialize
 
 #: Characters of a context and the character it predicts, together at most.
 ORDER = 4
-#: A string of up to ORDER characters is kept from this share of all strings of its length: at most 1 / SHARE of each
-#: length exist, so the model that is broadcast has at most ORDER / SHARE rows, whatever the input.
+#: A string of up to ORDER characters is kept from this share of all strings of its length in accepted or in rejected
+#: URLs: at most 2 / SHARE of each length exist, so the model that is broadcast has at most 2 * ORDER / SHARE rows,
+#: whatever the input, and a rare class keeps its contexts.
 SHARE = 2e-5
 #: Weight of the shorter context in a smoothed distribution, in observations.
 SMOOTHING = 4.0
@@ -91,13 +92,13 @@ def learn(judged: DataFrame, url: str, allow: str) -> DataFrame:
     total = totals.where("len = 1").first()
     ta, tb = (total["ta"], total["tb"]) if total else (0.0, 0.0)
     alphabet = counts.where("len = 1").count() + 1
-    kept = counts.where((F.col("a") + F.col("b")) >= SHARE * (ta + tb))
+    kept = counts.where(((F.col("a") > 0) & (F.col("a") >= SHARE * ta)) | ((F.col("b") > 0) & (F.col("b") >= SHARE * tb)))
     # occurrences of a string as a context: sums over the characters behind it
     contexts = counts.where("len > 1").groupBy(F.expr("substring(gram, 1, len - 1)").alias("ctx")).agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     kept = kept.join(contexts.withColumnRenamed("ctx", "gram"), "gram", "left").fillna(0.0, ["ca", "cb"])
     kept = kept.select("gram", "len", "a", "b", F.log(SMOOTHING / (F.col("ca") + SMOOTHING)).alias("wa"), F.log(SMOOTHING / (F.col("cb") + SMOOTHING)).alias("wb"), "ca", "cb")
     kept = materialize(kept)
-    # smoothed probabilities, from short strings to long ones; each length is bounded by 1 / SHARE rows
+    # smoothed probabilities, from short strings to long ones; each length is bounded by 2 / SHARE rows
     done = kept.where("len = 1").select("gram", *[((F.col(c) + 1.0) / (t + alphabet)).alias(p) for c, t, p in (("a", ta, "pa"), ("b", tb, "pb"))])
     levels = [done]
     for n in range(2, ORDER + 1):

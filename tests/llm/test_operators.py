@@ -299,3 +299,12 @@ def test_schedule_does_not_drift_from_the_target():
             assert all(abs(done[i] - Fraction(p * (t + 1), total)) < 1 for i, p in enumerate(parts))
         if t == 200_000:
             break
+
+
+def test_url_model_keeps_the_strings_of_a_rare_class(spark):
+    accepted = spark.range(200_000).selectExpr("concat('http://site.org/page/', id % 50) AS u", "true AS ok")
+    rejected = spark.range(40).selectExpr("concat('http://bad.com/zqxj/', id) AS u", "false AS ok")
+    grams = {r["gram"]: r for r in urls.learn(accepted.unionByName(rejected), "u", "ok").collect()}
+    assert grams["zqxj"]["pb"] > np.log(0.8) > grams["zqxj"]["pa"]
+    alone = urls.learn(rejected.where("ok"), "u", "ok")
+    assert alone.count() == 0

@@ -43,7 +43,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL can express neither the field of the secret scan nor byte-pair merges; tests compare with a plain version.
+#: SQL can express neither the field of the secret scan nor byte-pair merges; a test checks ids and how many documents stay.
 ORACLE_SQL = None
 
 

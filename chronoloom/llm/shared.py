@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that part words: space and the ASCII controls 9 to 13. ``bytes.split()`` parts on the same six.
 BLANKS = " \t\n\x0b\f\r"
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -33,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def materialize(df: DataFrame, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with a writer's ``options``, and read it again.
 
     This cuts lineage: the files outlive any executor, and later plans see their true size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chronoloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,10 @@ Time is cut into slots of one block each. Block j of a source with weight w may
 must end by slot ceil(j / w); in every slot, of the released blocks the one with the earliest deadline runs. While all
 sources last, each source's share then stays within less than one block of w times the slots so far.
 
-Weights are exact rationals, whatever their size, so no weight is rounded and nothing adds up over a long run. One task
-works out the slots of all blocks in turn, in memory for the sources alone, and writes them; documents meet their block
-in a join. When a source has run out its slots stay empty. No document is dropped or repeated.
+Weights are exact rationals, whatever their size, so no weight is rounded and nothing adds up over a long run. Weights
+and counts are a table; one task reads it, works out the slots of all blocks in turn, in memory for the sources alone,
+and writes them; documents meet their block in a join. When a source has run out its slots stay empty. No document is
+dropped or repeated.
 """
 
 from __future__ import annotations
@@ -15,46 +16,21 @@ import heapq
 import itertools
 from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
-from math import lcm
+from math import isqrt, lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize, quoted
 
-#: Slots of one period of a plan that repeats, as whole_weights rounds to. mix does not round.
-PERIOD = 1000
 #: Documents in a block.
 BLOCK_DOCS = 16
-#: Documents aimed at in one bucket of the ranking inside a source.
-BUCKET_DOCS = 4000
-#: Sources beyond which the table of weights is refused: each is one entry of a list on the driver.
-MOST_SOURCES = 100_000
-
-
-def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> tuple[dict[str | None, int], int]:
-    """Slots of each source in a period, by largest remainder, at least one each; and the period."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("weights must be above 0")
-    period = max(period, 2 * len(weights))
-    total = float(sum(weights.values()))
-    exact = {s: w / total * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    ranked = sorted(exact, key=lambda s: (slots[s] - exact[s], s is None, str(s)))
-    k = 0
-    while (short := period - sum(slots.values())) != 0:
-        source = ranked[k % len(ranked)] if short > 0 else max(slots, key=lambda s: (slots[s], str(s)))
-        slots[source] += 1 if short > 0 else -1
-        k += 1
-    return slots, period
-
-
-def period_plan(slots: Mapping[str | None, int], period: int) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period under earliest deadline first."""
-    order = sorted(slots, key=lambda s: (s is None, str(s)))
-    parts = [slots[s] for s in order]
-    return [(order[k], *rest) for k, *rest in schedule(parts, period, parts)]
+#: Documents aimed at in one bucket of the ranking inside a source, or the root of all documents where that is more:
+#: then neither a bucket nor the list of a source's buckets is long.
+BUCKET_DOCS = 400
+_LAST = 2**63 - 1
 
 
 def exact_parts(weights: Sequence[float]) -> tuple[list[int], int]:
@@ -91,76 +67,119 @@ def schedule(parts: Sequence[int], total: int, blocks: Sequence[int]) -> Iterato
         slot += 1
 
 
-def _plan_rows(parts: Sequence[int], total: int, blocks: Sequence[int]):
+def _plan_rows(block_docs: int):
     def run(batches):
-        for _ in batches:
-            pass
-        rows = schedule(parts, total, blocks)
-        while some := list(itertools.islice(rows, 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["p_k", "p_block", "p_release", "p_deadline", "p_slot"])
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: (r[0] is None, str(r[0])))
+        names = [r[0] for r in rows]
+        parts, total = exact_parts([r[1] for r in rows]) if rows else ([], 0)
+        plan = schedule(parts, total, [-(-r[2] // block_docs) for r in rows])
+        while some := list(itertools.islice(plan, 50_000)):
+            k, block, release, deadline, slot = zip(*some, strict=True)
+            whole = [pa.array([min(x, _LAST) for x in c], pa.int64()) for c in (block, release, deadline, slot)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in k], pa.string()), *whole], ["p_s", "p_block", "p_release", "p_deadline", "p_slot"])
 
     return run
 
 
-def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.7) -> dict[str | None, float]:
-    """Target weights: a source's share of documents to ``power``, which lifts small sources."""
-    counts = docs.groupBy(source).count().limit(MOST_SOURCES + 1).collect()
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources; give weights for groups of sources")
-    return {r[0]: float(r[1]) ** power for r in counts}
+def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.7) -> DataFrame:
+    """(source, weight): a source's count of documents to ``power``, which lifts small sources. A null source is one too."""
+    counts = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").cast("double").alias("n"))
+    return counts.select("source", F.pow("n", F.lit(power)).alias("weight"))
+
 
+def mix(docs: DataFrame, weights: DataFrame | Mapping[str | None, float], key: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS, seed: int = 7, out: str = "mix") -> DataFrame:
+    """``docs`` with a struct ``out`` of block, release, deadline, slot and position; sorting by position is the mix.
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float], key: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS, seed: int = 7) -> DataFrame:
-    """``docs`` with a struct ``mix`` of block, release, deadline, slot and position; sorting by position is the mix.
+    ``weights`` is a table (source, weight) or a mapping, in any unit, above 0. Inside a source documents are shuffled
+    by a hash of the key. A null source is a source of its own; a source without a weight raises ValueError; one with
+    a weight and no document leaves its slots empty. Rows that repeat a key each get a place of their own. A column of
+    ``docs`` with the name ``out`` is replaced; an empty table gives an empty one. Deadlines and slots count from 0.
 
-    Inside a source documents are shuffled by a hash of the key. A null source is a source of its own; a source
-    without a weight raises. Rows that repeat a key each get a place of their own.
     The rank inside a source is the rank inside a hash bucket plus the size of the buckets before it, so a source with
-    a third of all rows is ranked by as many tasks as its rows need. Deadlines and slots are counted from 0.
+    a third of all rows is ranked by as many tasks as its rows need.
     """
     spark = docs.sparkSession
-    order = sorted(weights, key=lambda s: (s is None, str(s)))
-    parts, total = exact_parts([weights[s] for s in order])
-    rows = dict(docs.groupBy(F.col(source).cast("string")).count().collect())
-    if rows.keys() - set(order):
-        raise ValueError("a source has no weight")
-    blocks = [-(-rows.get(s, 0) // block_docs) for s in order]
-    plan = materialize(spark.range(0, 1, 1, 1).mapInArrow(_plan_rows(parts, total, blocks), "p_k long, p_block long, p_release long, p_deadline long, p_slot long"))
-    columns = docs.columns
-    n_buckets = max(1, -(-sum(rows.values()) // BUCKET_DOCS))
-    hashed = F.xxhash64(F.lit(seed), F.col(key))
-    keyed = docs.select(F.struct(*columns).alias("row"), F.col(source).cast("string").alias("s"), hashed.alias("h"), F.col(key).alias("k"))
+    if not isinstance(weights, DataFrame):
+        weights = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+    columns = [c for c in docs.columns if c != out]
+    hashed = F.xxhash64(F.lit(seed), quoted(key))
+    keyed = docs.select(F.struct(*map(quoted, columns)).alias("row"), quoted(source).cast("string").alias("s"), hashed.alias("h"), quoted(key).alias("k"))
+    counts = keyed.groupBy("s").agg(F.count("*").alias("n"))
+    given = weights.select(F.col("source").alias("w_s"), "weight")
+    asked = given.join(counts, F.col("w_s").eqNullSafe(F.col("s")), "full")
+    asked = materialize(asked.select(F.coalesce("w_s", "s").alias("s"), "weight", F.coalesce("n", F.lit(0)).alias("n")))
+    if asked.where("weight is null or isnan(weight) or not weight > 0").limit(1).count():
+        raise ValueError("every source needs a weight above 0")
+    plan = materialize(asked.repartition(1).mapInArrow(_plan_rows(block_docs), "p_s string, p_block long, p_release long, p_deadline long, p_slot long"))
+    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    discard(asked)
+    n_buckets = max(1, -(-total // max(BUCKET_DOCS, isqrt(total))))
     # high bits choose the bucket, so buckets are ranges of the hash
     keyed = keyed.withColumn("bucket", F.floor(F.shiftrightunsigned("h", 32) * F.lit(n_buckets) / F.lit(2.0**32)).cast("long"))
     sizes = keyed.groupBy("s", "bucket").agg(F.count("*").alias("size"))
     ahead = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("s").alias("s2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("s", "bucket").orderBy(F.shiftrightunsigned("h", 1), F.col("h") >= 0, "k")
+    inside = Window.partitionBy("s", "bucket").orderBy(F.shiftrightunsigned("h", 1), F.col("h") >= 0, "k", *_ties(docs, columns))
     ranked = keyed.withColumn("r", F.row_number().over(inside) - 1)
-    ranked = ranked.join(starts, ranked["s"].eqNullSafe(starts["s2"]) & (ranked["bucket"] == starts["bucket2"]), "left")
+    ranked = ranked.join(starts, ranked["s"].eqNullSafe(starts["s2"]) & (ranked["bucket"] == starts["bucket2"]))
     rank = F.col("start") + F.col("r")
     placed = ranked.select("row", "s", F.floor(rank / block_docs).alias("block"), (rank % block_docs).alias("offset"))
-    places = spark.createDataFrame([(s, k) for k, s in enumerate(order)], "k_source string, k long")
-    placed = placed.join(F.broadcast(places), placed["s"].eqNullSafe(places["k_source"]))
-    placed = placed.join(plan, (placed["k"] == plan["p_k"]) & (placed["block"] == plan["p_block"]))
+    placed = placed.join(plan, placed["s"].eqNullSafe(plan["p_s"]) & (placed["block"] == plan["p_block"]))
     slot = F.col("p_slot")
     made = F.struct(F.col("block"), F.col("p_release").alias("release"), F.col("p_deadline").alias("deadline"), slot.alias("slot"), (slot * block_docs + F.col("offset")).alias("position"))
-    return placed.select("row.*", made.alias("mix"))
+    return placed.select("row.*", made.alias(out))
+
+
+def _ties(docs: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """A hash of what a row holds besides its key, so that a task that runs again ranks rows as before."""
+    plain = [c for c in columns if not any(t in docs.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+    return [F.xxhash64(*[F.col(f"row.`{c}`") for c in plain])] if plain else []
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
-    """doc_id, source, block, release, deadline, slot and position of every row."""
+    """doc_id, source, block, release, deadline, slot and position of every row; other columns are not read."""
     slim = docs.select("doc_id", "source")
     return mix(slim, tempered_weights(slim)).select("doc_id", "source", "mix.*")
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows have a place in a file, else ``docs`` written."""
+    try:
+        docs.metadataColumn("_metadata")
+        docs.select(docs.metadataColumn("_metadata").getField("row_index")).schema  # noqa: B018
+        return docs
+    except AnalysisException:
+        return materialize(docs)
+
+
 def in_mixed_order(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, written in the order of the mix by range of position."""
+    """All rows and columns of ``docs``, to be written in the order of the mix: by file, and inside a file by row.
+
+    Rows are told apart by their place in the files they come from, so equal rows, repeated and null doc_ids and null
+    texts are rows like any other. Texts are shuffled twice: to their position, then by range of it. Other columns,
+    whatever their names, pass unchanged; an empty table gives an empty one. ``file_positions`` reads the order back.
+    """
     columns = docs.columns
-    mixed = mix(docs.select("doc_id", "source"), tempered_weights(docs.select("source")))
-    # a repeated doc_id has several places: the n-th of its rows takes the n-th place
-    nth = Window.partitionBy("doc_id")
-    places = mixed.select(F.col("doc_id").alias("m_id"), F.col("mix.position").alias("m_position"), F.row_number().over(nth.orderBy("mix.position")).alias("m_nth"))
-    numbered = docs.select(F.struct(*columns).alias("row"), "doc_id", F.row_number().over(nth.orderBy("source", F.xxhash64("text"))).alias("nth"))
-    both = numbered.join(places, numbered["doc_id"].eqNullSafe(places["m_id"]) & (numbered["nth"] == places["m_nth"]))
+    filed = _in_files(docs)
+    place = filed.metadataColumn("_metadata")
+    at = [F.xxhash64(place.getField("file_path")).alias("_f"), place.getField("row_index").alias("_i")]
+    slim = filed.select(*at, quoted("doc_id").alias("doc_id"), quoted("source").alias("source"))
+    places = materialize(mix(slim, tempered_weights(slim)).select(F.col("_f").alias("m_f"), F.col("_i").alias("m_i"), F.col("mix.position").alias("m_position")))
+    rows = filed.select(F.struct(*map(quoted, columns)).alias("row"), *at)
+    both = rows.join(places, (F.col("_f") == F.col("m_f")) & (F.col("_i") == F.col("m_i")))
     return both.repartitionByRange("m_position").sortWithinPartitions("m_position").select("row.*")
+
+
+def file_positions(docs: DataFrame, columns: Sequence[Column], out: str = "position") -> DataFrame:
+    """``columns`` made from ``docs``, just read from files, with the place of each row in the order of the files, from 0.
+
+    Files are taken in the order of their names, which is that of the tasks that wrote them, rows in that of the file.
+    Rows per file come from the files' footers; there is one row a file.
+    """
+    place = docs.metadataColumn("_metadata")
+    files = docs.select(place.getField("file_name").alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("f").alias("_f"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_start"))
+    rows = docs.select(F.struct(*columns).alias("_made"), place.getField("file_name").alias("_name"), place.getField("row_index").alias("_row"))
+    return rows.join(starts, F.col("_name") == F.col("_f")).select("_made.*", (F.col("_start") + F.col("_row")).alias(out))

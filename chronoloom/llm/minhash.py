@@ -8,14 +8,16 @@ equal to their Jaccard similarity, and the sum of agreements concentrates like i
 Candidates come from bands of coordinates: 32 bands of 4 miss a link at similarity 0.8 with probability 5e-8. Texts
 with equal sets are one node from the start. In each bucket every node is first checked against one leader, which
 joins most groups in a number of pairs linear in their size. Whatever buckets still hold nodes of several components
-is then compared whole, in blocks: pairs of different components whose sketches may reach the threshold are verified
-on full sets in the task, each in the first bucket that both share, and only links that join two components come out,
-so the rows stay linear. No bucket is capped and no link between components is given up.
+is then compared whole, in blocks bounded by nodes and by shingles: sketches go first, and the full sets of nodes with
+a partner of another component whose sketch may reach the threshold follow. Such pairs are verified in the task, each
+in the first bucket that both share, and only links that join two components come out, so the rows stay linear. No
+bucket is capped and no link between components is given up.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, quoted
 
 T, BANDS = 128, 32
 #: Coordinates that agree, of T, below which a pair is not verified: 4.9 standard deviations under 0.8 * T.
 LEAST_AGREEMENTS = 80
-#: Nodes of one block when a bucket is compared whole.
-BLOCK = 1024
-#: Nodes whose ids (24 bytes each) may be broadcast to fetch their texts; beyond it the texts are joined by shuffle.
+#: Nodes, and shingles of all their sets, of one block when a bucket is compared whole.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Nodes whose keys (32 bytes each) may be broadcast to fetch their texts; beyond it the texts are joined by shuffle.
 BROADCAST_NODES = 500_000
 _SEEDS = np.random.default_rng(20240).integers(1, 2**63, 2 * T, dtype=np.uint64)
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -113,8 +115,8 @@ def _signatures(width: int):
                 bands.append(bands_of(made) if key else None)
                 sketches.append((made & np.uint64(255)).astype(np.uint8).tobytes() if key else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "node", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "h", "n_shingles", "node", "bands", "sketch"],
             )
 
     return run
@@ -157,76 +159,111 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Bucket:
-    """Rows of one block pair of a bucket; ``links`` joins its components by verified pairs, one pair a join."""
+    """Rows of one block pair of a bucket. Pairs worth verifying lie in different components."""
 
     def __init__(self, key: tuple[int, int, int, int]):
         self.key = key
-        self.blocks, self.nodes, self.roots, self.items, self.marks, self.bands = ([] for _ in range(6))
+        self.blocks, self.nodes, self.roots, self.sizes, self.marks, self.bands, self.items = ([] for _ in range(7))
 
-    def links(self) -> list[tuple[bytes, bytes]]:
+    def _ready(self) -> bool:
         names = sorted(set(self.roots))
         if len(names) < 2:
-            return []
-        number, i, j = self.key[1:]
+            return False
+        _, self.number, i, j = self.key
         place = {name: k for k, name in enumerate(names)}
-        root = np.array([place[r] for r in self.roots])
-        sizes = np.array([len(x) for x in self.items], np.float64)
-        marks = np.frombuffer(b"".join(self.marks), np.uint8).reshape(-1, T)
-        bands, block, everyone = np.stack(self.bands), np.array(self.blocks), np.arange(len(root))
-        left, right = (everyone, everyone) if i == j else (everyone[block == i], everyone[block == j])
+        self.root = np.array([place[r] for r in self.roots])
+        self.size = np.array(self.sizes, np.float64)
+        self.mark = np.frombuffer(b"".join(self.marks), np.uint8).reshape(-1, T)
+        self.band = np.stack(self.bands)
+        block, everyone = np.array(self.blocks), np.arange(len(self.root))
+        self.same = i == j
+        self.left, self.right = (everyone, everyone) if self.same else (everyone[block == i], everyone[block == j])
+        return True
+
+    def _partners(self, x: int) -> np.ndarray:
+        """Rows of other components whose sketch may reach the threshold and that meet ``x`` first in this bucket."""
+        y = self.right[self.right > x] if self.same else self.right
+        y = y[(self.root[y] != self.root[x]) & (100 * np.minimum(self.size[x], self.size[y]) >= 80 * np.maximum(self.size[x], self.size[y]))]
+        y = y[(self.mark[y] == self.mark[x]).sum(1) >= LEAST_AGREEMENTS]
+        return y[(self.band[y] == self.band[x]).argmax(1) == self.number]
+
+    def suspects(self) -> list[tuple]:
+        """Nodes with a partner, and the key of the block pair."""
+        if not self._ready():
+            return []
+        found: set[int] = set()
+        for x in self.left.tolist():
+            y = self._partners(x).tolist()
+            found.update([x, *y] if y else ())
+        return [(*self.key, self.nodes[x]) for x in sorted(found)]
+
+    def links(self) -> list[tuple]:
+        """Verified pairs that join two components, one a join."""
+        if not self._ready():
+            return []
         out = []
-        for x in left.tolist():
-            y = right[right > x] if i == j else right
-            y = y[(root[y] != root[x]) & (100 * np.minimum(sizes[x], sizes[y]) >= 80 * np.maximum(sizes[x], sizes[y]))]
-            y = y[(marks[y] == marks[x]).sum(1) >= LEAST_AGREEMENTS]
-            # a pair that meets in several buckets is verified in the first alone
-            y = y[(bands[y] == bands[x]).argmax(1) == number]
-            for k in y.tolist():
-                if root[k] == root[x]:
+        for x in self.left.tolist():
+            for k in self._partners(x).tolist():
+                if self.root[k] == self.root[x]:
                     continue
                 a, b = self.items[x], self.items[k]
                 shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 if 100 * shared >= 80 * (len(a) + len(b) - shared):
                     out.append((self.nodes[x], self.nodes[k]))
-                    root[root == root[k]] = root[x]
+                    self.root[self.root == self.root[k]] = self.root[x]
         return out
 
 
-def _bucket_links(batches):
-    """Links of each group of rows with equal (band, number, i, j), which arrive sorted by it."""
+def _per_bucket(find, schema: pa.Schema):
+    """``find`` over each group of rows with equal (band, number, i, j), which arrive sorted by it."""
 
-    def batch_of(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+    def batch_of(rows):
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches):
+        bucket = None
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "number", "i", "j")), strict=True)
+            rest = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "n", "sketch")), strict=True)
+            items = batch.column("items") if "items" in batch.schema.names else itertools.repeat(None, batch.num_rows)
+            for key, (block, node, root, n, mark), bands, own in zip(keys, rest, batch.column("bands"), items, strict=True):
+                if bucket is None or key != bucket.key:
+                    out += find(bucket) if bucket else []
+                    bucket = _Bucket(key)
+                bucket.blocks.append(block)
+                bucket.nodes.append(node)
+                bucket.roots.append(root)
+                bucket.sizes.append(n)
+                bucket.marks.append(mark)
+                # copies, so that a batch is not kept for one of its rows
+                bucket.bands.append(bands.values.to_numpy().copy())
+                if own is not None:
+                    bucket.items.append(own.values.to_numpy().view(np.uint64).copy())
+            yield batch_of(out)
+        if bucket:
+            yield batch_of(find(bucket))
+
+    return run
 
-    bucket = None
-    for batch in batches:
-        out = []
-        keys = zip(*(batch.column(c).to_pylist() for c in ("band", "number", "i", "j")), strict=True)
-        rest = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "sketch")), strict=True)
-        arrays = zip(batch.column("items"), batch.column("bands"), strict=True)
-        for key, (block, node, root, mark), (items, bands) in zip(keys, rest, arrays, strict=True):
-            if bucket is None or key != bucket.key:
-                out += bucket.links() if bucket else []
-                bucket = _Bucket(key)
-            bucket.blocks.append(block)
-            bucket.nodes.append(node)
-            bucket.roots.append(root)
-            bucket.marks.append(mark)
-            # copies, so that a batch is not kept for one of its rows
-            bucket.items.append(items.values.to_numpy().view(np.uint64).copy())
-            bucket.bands.append(bands.values.to_numpy().copy())
-        yield batch_of(out)
-    if bucket:
-        yield batch_of(bucket.links())
+
+_PAIR_KEY = ["band", "number", "i", "j"]
+_SUSPECT = pa.schema([("band", pa.int64()), ("number", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.binary())])
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, h, text): h, a hash of the text, names a text where doc_id is null or repeats."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("h"), F.col("text").cast("string").alias("text"))
 
 
 def _node_sets(wanted: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(node, items): the sets of the nodes ``wanted`` (w, distinct), from their texts, written out."""
-    ids = reps.join(wanted, reps["node"] == wanted["w"], "left_semi").select(F.col("label").alias("id"))
-    texts = documents.select("doc_id", "text")
+    """(node, items): the sets of the nodes ``wanted`` (w, distinct), each from its least row, written out."""
+    ids = reps.join(wanted, reps["node"] == wanted["w"], "left_semi").select(F.col("rep.doc_id").alias("id"), F.col("rep.h").alias("ih"))
     side = F.broadcast(ids) if wanted.count() <= BROADCAST_NODES else ids
-    found = texts.join(side, texts["doc_id"] == side["id"], "left_semi").select("text")
-    # a doc_id with several texts gives sets that are not wanted, and equal sets more than once
+    found = _texts(documents).join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("ih")), "left_semi").select("text")
+    # rows with equal doc_id and text give the same set more than once
     return materialize(found.mapInArrow(_sets(width), "node binary, items array<long>").groupBy("node").agg(F.first("items").alias("items")))
 
 
@@ -243,55 +280,105 @@ def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: in
     return links
 
 
-def near_duplicates(documents: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``documents`` (doc_id, text; the rest is not read).
-
-    A text without words, or null, has no shingles and is linked with nothing: its component_id is its doc_id, as it
-    is for any text without links. Repeated doc_ids are one document in component_id and keep all their rows.
-    """
-    signed = materialize(documents.select("doc_id", "text").mapInArrow(_signatures(width), "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"))
-    reps = materialize(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+def _open_links(members: DataFrame, roots: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame | None:
+    """Links (a, b) between the components that still meet in a bucket, written out; none if no bucket holds two."""
+    rooted = members.join(roots.withColumnRenamed("node", "rn"), members["node"] == F.col("rn"), "left").select("band", "number", "node", "c", "shingles", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted)
+    split = materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("sb")))
+    n_blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = rooted.join(split, rooted["band"] == split["sb"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), n_blocks - 1))
+    spread = open_.select("band", "number", "node", "root", "block", others.alias("other"))
+    spread = materialize(spread.select("band", "number", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root"))
+    used = [rooted, split, spread]
+    marks = reps.select(F.col("node").alias("mn"), F.col("n").cast("int").alias("n"), "sketch", "bands")
+    dealt = lambda rows: rows.repartition(*_PAIR_KEY).sortWithinPartitions(*_PAIR_KEY)
+    sketched = spread.join(marks, F.col("node") == F.col("mn")).drop("mn")
+    suspects = materialize(dealt(sketched).mapInArrow(_per_bucket(_Bucket.suspects, _SUSPECT), "band long, number int, i int, j int, node binary"))
+    used.append(suspects)
+    added = None
+    if suspects.limit(1).count():
+        wanted = materialize(suspects.select(F.col("node").alias("w")).distinct())
+        sets = _node_sets(wanted, documents, reps, width)
+        marked = marks.join(sets.withColumnRenamed("node", "sn"), F.col("mn") == F.col("sn")).drop("sn")
+        sent = spread.join(suspects, [*_PAIR_KEY, "node"]).join(marked, F.col("node") == F.col("mn")).drop("mn")
+        added = materialize(dealt(sent).mapInArrow(_per_bucket(_Bucket.links, _LINK), "a binary, b binary"))
+        used += [wanted, sets]
+    for frame in used:
+        discard(frame)
+    return added
+
+
+def classes(documents: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, h, n_shingles, root, component_id) of every row: ``root`` names its class, null without words."""
+    signed = materialize(_texts(documents).mapInArrow(_signatures(width), "doc_id long, h long, n_shingles long, node binary, bands array<long>, sketch binary"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "h"))
+    reps = materialize(signed.where("node is not null").groupBy("node").agg(least.alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     rows = reps.select(F.posexplode("bands").alias("number", "band"), "node", F.col("n").cast("int").alias("n"))
-    leaders = materialize(rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("lb"), "leader", "c"))
-    members = materialize(rows.join(leaders, rows["band"] == leaders["lb"]).select("band", "number", "node", "n", "leader", "c"))
+    leaders = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    leaders = materialize(leaders.where("c > 1").select(F.col("band").alias("lb"), "leader", "c", "shingles"))
+    members = materialize(rows.join(leaders, rows["band"] == leaders["lb"]).select("band", "number", "node", "n", "leader", "c", "shingles"))
     pairs = materialize(
         members.where("node <> leader.node and 100 * least(n, leader.n) >= 80 * greatest(n, leader.n)").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     )
     links = _verified(pairs, documents, reps, width)
     roots = components(links)
-    # what buckets still hold nodes of several components
-    rooted = members.join(roots.withColumnRenamed("node", "rn"), members["node"] == F.col("rn"), "left").select("band", "number", "node", "c", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted)
-    split = materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("sb")))
-    n_blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    open_ = rooted.join(split, rooted["band"] == split["sb"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    open_ = materialize(open_.select("band", "number", "node", "root", "block", n_blocks.alias("n_blocks")))
-    wanted = materialize(open_.select(F.col("node").alias("w")).distinct())
-    if wanted.limit(1).count():
-        sets = _node_sets(wanted, documents, reps, width)
-        marked = reps.join(sets.withColumnRenamed("node", "sn"), F.col("node") == F.col("sn")).select(F.col("node").alias("mn"), "sketch", "bands", "items")
-        spread = open_.select("band", "number", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-        sent = spread.select("band", "number", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(marked, F.col("node") == F.col("mn")).drop("mn")
-        added = materialize(sent.repartition("band", "number", "i", "j").sortWithinPartitions("band", "number", "i", "j").mapInArrow(_bucket_links, "a binary, b binary"))
-        discard(sets)
+    added = _open_links(members, roots, documents, reps, width)
+    used = [leaders, members, pairs]
+    if added is not None:
         if added.limit(1).count():
-            roots = components(links.union(added))
-    named = reps.select("node", "label").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn")).select("node", "label", "root")
-    named = materialize(named)
-    least = materialize(named.groupBy("root").agg(F.min("label").alias("component")).withColumnRenamed("root", "lr"))
-    placed = materialize(named.join(least, named["root"] == least["lr"]).select(F.col("node").alias("pn"), "component"))
-    alone = reps.select(F.col("node").alias("an"), "label")
-    out = signed.select("doc_id", "n_shingles", "node").join(alone, F.col("node") == F.col("an"), "left").join(placed, F.col("node") == F.col("pn"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "label", "doc_id").alias("component_id"))
-    for used in (leaders, members, pairs, rooted, split, open_, wanted, named, least):
-        discard(used)
+            every = links.union(added)
+            discard(roots)
+            roots = components(every)
+        used.append(added)
+    used.append(links)
+    named = materialize(reps.select("node", "rep").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn")).select("node", "rep", "root"))
+    lowest = materialize(named.groupBy("root").agg(F.min("rep").alias("low")).select(F.col("root").alias("lr"), F.col("low.doc_id").alias("component")))
+    placed = materialize(named.join(lowest, named["root"] == lowest["lr"]).select(F.col("node").alias("pn"), "component", F.col("root").alias("pr")))
+    alone = materialize(reps.select(F.col("node").alias("an"), F.col("rep.doc_id").alias("label")))
+    slim = materialize(signed.select("doc_id", "h", "n_shingles", "node"))
+    out = slim.join(alone, F.col("node") == F.col("an"), "left").join(placed, F.col("node") == F.col("pn"), "left")
+    component = F.when(F.col("pn").isNotNull(), F.col("component")).when(F.col("an").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
+    for frame in (*used, named, lowest, roots, signed, reps):
+        discard(frame)
+    return out.select("doc_id", "h", "n_shingles", F.coalesce("pr", "node").alias("root"), component.alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``documents`` (doc_id, text; the rest is not read).
+
+    A text without words, or null, has no shingles and is linked with nothing: its component_id is its doc_id, as it
+    is for any text without links. Every row is a document: rows that share a doc_id but no link are in two classes.
+    A null doc_id links like any other, and names a component only where no row of it has a doc_id; kept compares
+    null-safely. Texts of any length are read whole. An empty table gives an empty one.
+    """
+    out = classes(documents, width).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
-    """All columns of the rows that stay when each group of near-duplicates keeps its least doc_id."""
-    kept = near_duplicates(documents, width).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """All columns of the rows that stay when each class of near-duplicates keeps one row: that of its least doc_id.
+
+    A null doc_id comes behind all others; of rows with equal doc_id the one with the least hash of its text stays, of
+    rows with equal text too any one. Rows without words are in no class and stay. Columns pass under any name.
+    """
+    columns = documents.columns
+    least = F.min(F.struct("lost", "id", "h"))
+    rows = classes(documents, width).where("root is not null").select("root", F.col("doc_id").isNull().alias("lost"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    keys = materialize(rows.groupBy("root", "lost", "id", "h").agg(F.count("*").alias("c")))
+    best = keys.groupBy("root").agg(least.alias("best"))
+    told = keys.join(best.withColumnRenamed("root", "br"), F.col("root") == F.col("br")).withColumn("stays", F.col("best") == F.struct("lost", "id", "h"))
+    gone = materialize(told.where("not stays or c > 1").select("lost", "id", "h", "stays"))
+    discard(keys)
+    text = F.col("text").cast("string")
+    key = [F.col("doc_id").isNull().alias("lost"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("h")]
+    whole = documents.select(F.struct(*map(quoted, columns)).alias("row"), *key)
+    out = whole.join(gone, ["lost", "id", "h"], "left_anti").select("row")
+    repeated = gone.where("stays")
+    if repeated.limit(1).count():
+        again = whole.join(repeated, ["lost", "id", "h"], "left_semi").groupBy("lost", "id", "h").agg(F.first("row").alias("row"))
+        out = out.unionByName(again.select("row"))
+    return out.select("row.*")
 
 
 #: DuckDB SQL with the same rows for two-word shingles, over the table ``documents``.

@@ -1,8 +1,9 @@
 """Secret scan by a linear-chain conditional random field on top of fixed patterns.
 
 Tokens are tagged begin, inside or outside from their shape, the kinds of their neighbours and features of the file.
-The field is trained here: on generated lines with planted secrets, and on a bounded sample of texts whose tags come
-from the fixed patterns. Decoding is Viterbi's. A token whose score for outside leads by more than all transitions
+The field is trained here, on windows of a bounded sample of texts, of any length, into which secrets and harmless
+look-alikes are planted: with key words and in formats that the fixed patterns do not know as well as in those that
+they do. What the fixed patterns find in a window is a secret too; all else of it is outside. Decoding is Viterbi's. A token whose score for outside leads by more than all transitions
 could make up is outside on every best path, so only the stretches between such tokens are decoded: the tags are those
 of decoding the whole text.
 """
@@ -26,25 +27,37 @@ HEX = re.compile(r"[0-9a-f]+")
 #: A run of 16 or more is found from its first character, as a run of any length is.
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
-KEYWORD = re.compile(r"(?i:password|passwd|secret|token|api_?key)\Z", re.A)
+#: Words that announce a secret, alone or as the last part of a compound name.
+KEYWORD = re.compile(r"(?i:(?:[\w.-]*[_.-])?(?:password|passwd|passphrase|pwd|secret|tokens?|api_?key|apikey|credentials?|auth|authorization|bearer|(?:private|access|client|signing|session)_?key))\Z", re.A)
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TOKEN = re.compile(r"[\w+/.-]+|[^\w\s+/.-]+")
-_SHAPES = ("word", "title", "upper", "digits", "hex", "lower_digits", "upper_digits", "mixed_digits", "mixed", "keyword", "access", "quote", "assign", "other", "pieces", "edge")
+_SHAPES = (
+    "word", "title", "upper", "digits", "hex", "lower_digits", "upper_digits", "mixed_digits", "mixed", "keyword", "access", "quote", "assign", "other", "pieces", "random", "at", "edge",
+)
 _KIND = {name: i for i, name in enumerate(_SHAPES)}
 _LENGTHS = (4, 8, 12, 16, 20, 32, 40)
 _N_CLASSES = len(_SHAPES) * (len(_LENGTHS) + 1)
 _OFFSETS = (-3, -2, -1, 1)
 _EDGE = _KIND["edge"]
-_DIGITS = [_KIND[k] for k in ("digits", "hex", "lower_digits", "upper_digits", "mixed_digits")]
+_DIGITS = [_KIND[k] for k in ("digits", "hex", "lower_digits", "upper_digits", "mixed_digits", "random")]
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_TURN = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 _N_FILES = 6
 
-#: Texts of the training sample at most, and the longest text that may be in it.
-SAMPLE_TEXTS, SAMPLE_CHARS = 80, 20_000
+#: Texts of the training sample at most, windows of each, and characters of a window.
+SAMPLE_TEXTS, WINDOWS, WINDOW_CHARS = 80, 3, 1200
+
+
+def _random(piece: str) -> bool:
+    """Whether a run of letters and digits changes between cases and digits as often as chance does, names do not."""
+    turns = len(_TURN.findall(piece)) - 1
+    return len(piece) >= 12 and turns >= 5 and turns >= 0.35 * len(piece)
 
 
 def shape(token: str) -> int:
     """Class of a token: its kind of characters and its length."""
+    digits = sum(c.isdigit() for c in token)
     if KEYWORD.match(token):
         kind = "keyword"
     elif token.startswith("AKIA") and token.isalnum():
@@ -54,13 +67,15 @@ def shape(token: str) -> int:
     elif not (set("=:").isdisjoint(token)):
         kind = "assign"
     elif not any(c.isalnum() for c in token):
-        kind = "other"
-    elif any(c in "/.+-" for c in token.rstrip(".")) or not token.isascii() and any(c.isdigit() for c in token):
-        digits = sum(c.isdigit() for c in token)
-        kind = "mixed_digits" if digits and not set("+/").isdisjoint(token) and token.lower() != token and token.upper() != token and "." not in token else "pieces"
+        kind = "at" if token == "@" else "other"
+    elif len(token) >= 12 and any(map(_random, _PIECE.findall(token))):
+        kind = "random"
+    elif any(c in "/.+-" for c in token.rstrip(".")) or not token.isascii() and digits:
+        lower, upper = token.lower() == token, token.upper() == token
+        kind = "mixed_digits" if digits and not set("+/").isdisjoint(token) and not lower and not upper and "." not in token else "pieces"
     else:
-        has_digit, lower, upper = any(c.isdigit() for c in token), token.lower() == token, token.upper() == token
-        if not has_digit:
+        lower, upper = token.lower() == token, token.upper() == token
+        if not digits:
             kind = "word" if lower else "upper" if upper else "title" if token[0].isupper() and token[1:].lower() == token[1:] else "mixed"
         elif token.isdigit():
             kind = "digits"
@@ -256,49 +271,108 @@ def labelled(text: str, spans: Sequence[tuple[int, int]], known: _Shapes) -> tup
     return np.array([known[m[0]] for m in found], int), tags
 
 
-def generated(n: int = 300, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Lines with planted secrets and with harmless look-alikes, from a fixed seed."""
-    rng = np.random.default_rng(seed)
-    pick = lambda letters, k: "".join(rng.choice(list(letters), k))
-    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    secrets = (
-        lambda: pick("0123456789abcdef", rng.integers(32, 65)), lambda: pick("0123456789ABCDEF", rng.integers(32, 65)), lambda: pick(low + up + dig, rng.integers(20, 48)),
-        lambda: pick(low + up + dig + "+/", rng.integers(32, 64)), lambda: "AKIA" + pick(up + dig, 16), lambda: "sk_live_" + pick(low + up + dig, 24), lambda: "ghp_" + pick(low + up + dig, 36),
+LOW, UP, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def _makers(pick, rng) -> tuple[tuple, tuple]:
+    """Makers of secrets that need no announcement, and of those that are one only behind a key word."""
+    between = lambda a, b: int(rng.integers(a, b))
+    every = LOW + UP + DIGITS
+    prefix = lambda: pick(LOW, between(2, 6)) + str(rng.choice(["_", "-"]))
+    alone = (
+        lambda: pick(every, between(20, 48)), lambda: prefix() + pick(every, between(20, 40)), lambda: prefix() + str(rng.choice(["live", "test", "prod"])) + "_" + pick(every, 24),
+        lambda: prefix() + pick(DIGITS, 12) + "-" + pick(every, 24), lambda: ".".join(pick(every + "_-", between(20, 60)) for _ in range(3)), lambda: pick(every + "+/", between(32, 64)),
+        lambda: pick("0123456789ABCDEF", between(32, 65)), lambda: "AKIA" + pick(UP + DIGITS, 16), lambda: pick("0123456789abcdef", between(32, 65)),
     )
-    frames = ("{k} = \"{v}\"", "{k}: {v}", "{k}={v}", "'{k}': '{v}'", "use {v} as {k}", "{k} {v}", "export {K}={v}")
-    harmless = (
-        lambda: pick(dig, rng.integers(1, 9)), lambda: f"{pick(low, 5)}.{pick(low, 6)}@{pick(low, 7)}.com", lambda: f"https://www.{pick(low, 8)}.com/{pick(low, 4)}/{pick(dig, 5)}.html",
-        lambda: f"+{pick(dig, 2)} {pick(dig, 3)}-{pick(dig, 4)}", lambda: f"{pick(dig, 4)}-{pick(dig, 2)}-{pick(dig, 2)}", lambda: pick(up, rng.integers(2, 24)), lambda: pick(low, rng.integers(12, 40)),
-        lambda: pick(low, 6).title() + pick(low, 5).title(), lambda: f"token = {pick(low, 5)}", lambda: f"version {pick(dig, 1)}.{pick(dig, 2)}", lambda: f"{pick(dig, 3)}.{pick(dig, 3)}.{pick(dig, 1)}.{pick(dig, 2)}",
-        lambda: pick(up, 2) + pick(dig, 5), lambda: pick(low, 4) + pick(dig, 2), lambda: f"section: {pick(low, 9)}", lambda: f"the secret {pick(low, 7)}", lambda: pick(low, 8) + "###", lambda: pick(low, 6) + "/" + pick(low, 9),
+    announced = (
+        lambda: pick(every, between(8, 17)), lambda: pick(LOW + DIGITS, between(8, 24)), lambda: pick(UP + DIGITS, between(8, 24)), lambda: pick(LOW, 4) + pick(DIGITS, 4),
+        lambda: pick("0123456789abcdef", between(12, 32)), lambda: pick(every, 4) + "-" + pick(every, 4) + "-" + pick(every, 4),
     )
-    keys = ("password", "passwd", "secret", "token", "api_key", "apikey", "Password", "API_KEY", "SECRET")
-    lines = []
-    for _ in range(n):
-        parts, spans, at = [], [], 0
-        for _ in range(int(rng.integers(20, 60))):
-            draw = rng.random()
-            if draw < 0.06:
-                key, value = str(rng.choice(keys)), secrets[rng.integers(len(secrets))]()
-                piece = str(rng.choice(frames)).format(k=key, K=key.upper(), v=value)
-                begin = at + piece.index(value)
-                spans.append((begin, begin + len(value)))
-            elif draw < 0.3:
-                piece = harmless[rng.integers(len(harmless))]()
-            else:
-                piece = pick(low, rng.integers(1, 12)) + str(rng.choice(["", "", "", ",", "."]))
-            parts.append(piece)
-            at += len(piece) + 1
-        lines.append((" ".join(parts), spans))
-    return lines
-
-
-def train(documents: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Field:
-    """Fit on generated lines and on the ``texts`` documents with the lowest hash of doc_id, of at most ``chars`` each."""
-    short = documents.where(F.length("text") <= chars).select("doc_id", "text")
-    sample = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(texts).collect()
+    return alone, announced
+
+
+def _harmless(pick, rng) -> tuple:
+    between = lambda a, b: int(rng.integers(a, b))
+    return (
+        lambda: pick(DIGITS, between(1, 20)), lambda: f"{pick(LOW, 5)}.{pick(LOW, 6)}{pick(DIGITS, 2)}@{pick(LOW, 7)}.com", lambda: f"https://www.{pick(LOW, 8)}.com/{pick(LOW, 4)}/{pick(DIGITS, 5)}.html",
+        lambda: f"+{pick(DIGITS, 2)} {pick(DIGITS, 3)}-{pick(DIGITS, 4)}", lambda: f"{pick(DIGITS, 4)}-{pick(DIGITS, 2)}-{pick(DIGITS, 2)}", lambda: pick(UP, between(2, 24)), lambda: pick(LOW, between(12, 40)),
+        lambda: "".join(pick(LOW, between(3, 8)).title() for _ in range(between(2, 5))), lambda: "".join(pick(LOW, between(3, 8)).title() for _ in range(3)) + pick(DIGITS, 1), lambda: f"token = {pick(LOW, 5)}",
+        lambda: f"version {pick(DIGITS, 1)}.{pick(DIGITS, 2)}", lambda: f"{pick(DIGITS, 3)}.{pick(DIGITS, 3)}.{pick(DIGITS, 1)}.{pick(DIGITS, 2)}", lambda: pick(UP, 2) + pick(DIGITS, 5), lambda: pick(LOW, 4) + pick(DIGITS, 2),
+        lambda: f"section: {pick(LOW, 9)}", lambda: f"the secret {pick(LOW, 7)}", lambda: f"password {pick(LOW, 6)}", lambda: pick(LOW, 8) + "###", lambda: pick(LOW, 6) + "/" + pick(LOW, 9), lambda: pick(DIGITS, 16) + "$$$",
+        lambda: f"{pick(LOW, 6)}_{pick(LOW, 7)}_{pick(LOW, 5)}", lambda: f"{pick(LOW, 6)}-{pick(LOW, 7)}-{pick(DIGITS, 4)}", lambda: f"auth: {pick(LOW, 8)}", lambda: f"{pick(LOW, 5)}: {pick(DIGITS, 6)}",
+    )
+
+
+#: Key words and frames of planted secrets; the first words and frames are those that the base patterns know.
+KEYS = (
+    "password", "passwd", "secret", "token", "api_key", "apikey", "Password", "API_KEY", "SECRET", "pwd", "passphrase", "credential", "auth", "client_secret", "access_key", "private_key", "db_password", "AUTH_TOKEN", "signing-key",
+)
+FRAMES = (
+    "{k} = \"{v}\"", "{k}: {v}", "{k}={v}", "'{k}': '{v}'", "use {v} as {k}", "{k} {v}", "export {K}={v}", "{k} is {v}", "Authorization: Bearer {v}", "{k} -> {v}", "the {k} ({v})", "{k}, {v},",
+)
+
+
+def planted(texts: Sequence[str], seed: int = 5, each: int = 5, makers=None) -> list[tuple[str, list[tuple[int, int]]]]:
+    """``texts`` with about ``each`` secrets and twice as many look-alikes between their words, and the secrets' spans.
+
+    Spans of the fixed patterns in what results are secrets too. The draw is fixed by the seed.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda letters, k: "".join(rng.choice(list(letters), k))
+    alone, announced = (makers or _makers)(pick, rng)
+    harmless = _harmless(pick, rng)
+    out = []
+    for text in texts:
+        words = text.split(" ")
+        chance = min(0.3, 3 * each / max(1, len(words)))
+        parts: list[str] = []
+        spans: list[tuple[int, int]] = []
+        at = 0
+        for word in words:
+            for piece, value in [*([_piece(rng, alone, announced, harmless)] if rng.random() < chance else []), (word, None)]:
+                if value is not None:
+                    begin = at + piece.index(value)
+                    spans.append((begin, begin + len(value)))
+                parts.append(piece)
+                at += len(piece) + 1
+        made = " ".join(parts)
+        out.append((made, sorted({*spans, *(_value(made, *s) for s in base_spans(made))})))
+    return out
+
+
+def _piece(rng, alone, announced, harmless) -> tuple[str, str | None]:
+    """What is planted, and the secret in it: one of three is a secret, a quarter of those stands alone."""
+    if rng.random() > 1 / 3:
+        return harmless[rng.integers(len(harmless))](), None
+    if rng.random() < 0.25:
+        value = alone[rng.integers(len(alone))]()
+        return value, value
+    makers = (*alone, *announced)
+    value, key = makers[rng.integers(len(makers))](), str(rng.choice(KEYS))
+    return str(rng.choice(FRAMES)).format(k=key, K=key.upper(), v=value), value
+
+
+def generated(n: int = 60, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Lines of invented words with planted secrets and look-alikes, where there is no text to plant them in."""
+    rng = np.random.default_rng(seed + 1)
+    pick = lambda letters, k: "".join(rng.choice(list(letters), k))
+    lines = [" ".join(pick(LOW, rng.integers(1, 12)) + str(rng.choice(["", "", "", ",", "."])) for _ in range(120)) for _ in range(n)]
+    return planted(lines, seed)
+
+
+def sample_windows(documents: DataFrame, texts: int = SAMPLE_TEXTS) -> list[str]:
+    """Windows of the ``texts`` documents with the lowest hash of doc_id: bounded in number and in length, wherever they lie."""
+    length = F.coalesce(F.length("text"), F.lit(0))
+    start = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(length - WINDOW_CHARS, F.lit(1)).cast("long")) + 1).cast("int")
+    windows = F.array(*[F.substring(F.col("text"), start(k), F.lit(WINDOW_CHARS)) for k in range(WINDOWS)])
+    rows = documents.where(length > 0).select("doc_id", F.array_distinct(windows).alias("w")).orderBy(F.xxhash64("doc_id"), "doc_id", "w").limit(texts).collect()
+    return [w for r in rows for w in r["w"]]
+
+
+def train(documents: DataFrame, texts: int = SAMPLE_TEXTS) -> Field:
+    """Fit on planted windows of a bounded sample of ``documents`` and on generated lines."""
     known = _Shapes()
-    lines = generated() + [(r["text"], [_value(r["text"], *s) for s in base_spans(r["text"])]) for r in sample]
+    lines = generated() + planted(sample_windows(documents, texts), 9, 3)
     return fit([labelled(text, spans, known) for text, spans in lines if TOKEN.search(text)])
 
 
@@ -385,12 +459,20 @@ def _redacted(text: str, spans: Sequence[tuple[int, int, int]], mark: str) -> st
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
-    """doc_id, counts, base digest and all spans of every row; a null text counts as empty. One pass, no shuffle."""
+    """doc_id, counts, base digest and all spans of every row. One pass, no shuffle; other columns are not read.
+
+    A null text counts as empty and has no spans. Spans that start together are in the order of KINDS. Repeated rows
+    give repeated rows, an empty table an empty one; a text of any length is read whole.
+    """
     scanner = SecretScanner(train(documents))
     return documents.select("doc_id", scanner.report(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
-    """``documents`` with secrets replaced in ``text`` and ``n_chars`` counted anew."""
+    """``documents`` with secrets replaced in ``text`` and ``n_chars`` counted anew, every other column as it is.
+
+    A null text stays null, and so does its n_chars; texts without secrets stay as they are. Spans that overlap are
+    one mark. Repeated rows stay repeated; an empty table gives an empty one.
+    """
     scanner = SecretScanner(train(documents))
     return documents.withColumn("text", scanner.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))

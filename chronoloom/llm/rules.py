@@ -1,24 +1,26 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-A rule rejects a text. Its cost (units of work, an expression over the text) and its selectivity (share of texts that
-it rejects) are measured on a sample; rules then run in order of rejection per cost, and the first that rejects a text
-ends its evaluation. The order changes the work, never the verdict.
+A rule rejects a text. On a sample, written out once, each rule is timed and its verdicts are taken. The order is then
+built greedily: of the rules left, next comes the one that rejects the most of what the rules before it have let pass
+per unit of its time. The first rule that rejects a text ends its evaluation. The order changes the work, never the
+verdict.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANK_CLASS, BLANKS
+from .shared import BLANK_CLASS, BLANKS, discard, materialize, quoted
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]+"
-#: Rows, about, of the sample that orders the rules.
-SAMPLE_ROWS = 2000
+#: Rows, about, of the sample that orders the rules, and times that each rule is timed.
+SAMPLE_ROWS, TIMINGS = 1000, 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,43 +84,86 @@ def repeated_words(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: true for a text to go. ``cost``: units of work for this text, about one a character scanned."""
+    """``rejects``: true for a text to go."""
 
     name: str
     rejects: Column
-    cost: Column
 
 
-def production_rules(text: Column) -> list[Rule]:
-    """Rules over a text column; each evaluates what it needs, so a cascade that ends early has not paid for the rest."""
-    chars = F.length(whole(text))
-    n_words = F.size(words(text))
-    per_word = lambda share: F.lit(share) * n_words
+@dataclass(frozen=True)
+class Measures:
+    """What rules compare. Made from a text each is an expression; where a table holds them each is a column of it."""
+
+    n_words: Column
+    n_repeat_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_lines: Column
+    n_dup_lines: Column
+    n_capitals: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Measures:
+        n_capitals = F.length(F.regexp_replace(whole(text), r"\P{Lu}+", ""))
+        return cls(F.size(words(text)), repeated_words(words(text)), word_chars(text), symbols(text), F.size(worded_lines(text)), duplicate_lines(text), n_capitals)
+
+
+def production_rules(m: Measures) -> list[Rule]:
+    """Each rule evaluates what it needs, so a cascade that ends early has not paid for the rest."""
     return [
-        Rule("few_words", n_words < 50, chars * 3),
-        Rule("repeated_words", 100 * repeated_words(words(text)) > 50 * n_words, chars * 30),
-        Rule("symbols", symbols(text) > per_word(0.25), chars * 4),
-        Rule("duplicate_lines", 100 * duplicate_lines(text) > 40 * F.size(worded_lines(text)), chars * 3),
-        Rule("word_length", (word_chars(text) > per_word(18.0)) | (word_chars(text) < per_word(2.0)), chars * 5),
-        Rule("capitals", 2 * F.length(F.regexp_replace(whole(text), r"\P{Lu}+", "")) > word_chars(text), chars * 6),
+        Rule("few_words", m.n_words < 50),
+        Rule("repeated_words", 100 * m.n_repeat_words > 50 * m.n_words),
+        Rule("symbols", m.n_symbols > F.lit(0.25) * m.n_words),
+        Rule("duplicate_lines", 100 * m.n_dup_lines > 40 * m.n_lines),
+        Rule("word_length", (m.word_chars > F.lit(18.0) * m.n_words) | (m.word_chars < F.lit(2.0) * m.n_words)),
+        Rule("capitals", 2 * m.n_capitals > m.word_chars),
     ]
 
 
-def ordered_rules(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, key: str = "doc_id") -> list[Rule]:
-    """Rules by descending rejection per cost on about ``sample_rows`` rows: those whose hash of ``key`` lies low enough.
+def measured(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], list[list[bool]]]:
+    """Seconds that each rule takes over a sample of about ``sample_rows`` rows, and its verdicts row by row.
 
-    The rows are counted first, so that the bound fits the table; the sample is measured where it lies, and no text is
-    shuffled. Ties keep the given order, as does an empty table.
+    The sample is drawn row by row where rows lie, at a rate that follows from their count: no text is shuffled, and
+    rows that repeat count by their share. What comes to the driver is bounded by the sample: a flag a rule and row.
     """
     n = df.count()
-    if not n:
+    rate = min(1.0, sample_rows / n) if n else 0.0
+    sample = materialize(df.where(F.rand(17) < rate) if rate < 1 else df)
+    flags = [F.coalesce(r.rejects, F.lit(False)) for r in rules]
+    seconds = []
+    for flag in flags:
+        took = []
+        for _ in range(TIMINGS):
+            begin = time.perf_counter()
+            sample.agg(F.sum(flag.cast("int"))).collect()  # a new plan: one that has run would read its own shuffle
+            took.append(time.perf_counter() - begin)
+        seconds.append(min(took))
+    verdicts = [list(r) for r in sample.select(*[f.alias(f"f{k}") for k, f in enumerate(flags)]).collect()]
+    discard(sample)
+    return seconds, verdicts
+
+
+def greedy_order(seconds: Sequence[float], verdicts: Sequence[Sequence[bool]]) -> list[int]:
+    """Places of the rules: each time the most rejections, of rows still there, a second; ties keep the given order.
+
+    The time that every rule shares (a job's start) is taken off first, down to a hundredth of the slowest rule.
+    """
+    floor, most = min(seconds, default=0.0), max(seconds, default=0.0)
+    cost = [max(s - 0.9 * floor, 0.01 * most, 1e-9) for s in seconds]
+    rows, left, order = list(verdicts), list(range(len(seconds))), []
+    while left:
+        best = max(left, key=lambda k: (sum(r[k] for r in rows) / cost[k], -left.index(k)))
+        left.remove(best)
+        order.append(best)
+        rows = [r for r in rows if not r[best]]
+    return order
+
+
+def ordered_rules(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """``rules`` in the greedy order of rejection per cost on a sample of ``df``; an empty table keeps the given order."""
+    if len(rules) < 2:
         return list(rules)
-    bound = -(2**63) + 2**64 * sample_rows // n
-    sample = df if sample_rows >= n else df.where(F.xxhash64(F.col(key)) < F.lit(bound))
-    measures = [m for k, r in enumerate(rules) for m in (F.avg(F.coalesce(r.rejects, F.lit(False)).cast("double")).alias(f"s{k}"), F.avg(r.cost.cast("double")).alias(f"c{k}"))]
-    seen = sample.agg(*measures).first()
-    worth = [(seen[f"s{k}"] or 0.0) / max(seen[f"c{k}"] or 0.0, 1e-9) for k in range(len(rules))]
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth[k])]
+    return [rules[k] for k in greedy_order(*measured(df, rules, sample_rows))]
 
 
 def first_rejection(rules: Sequence[Rule]) -> Column:
@@ -130,32 +175,42 @@ def first_rejection(rules: Sequence[Rule]) -> Column:
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that no production rule rejects, with all their columns. A null text counts as empty, and goes."""
-    rules = ordered_rules(df, production_rules(F.col(text)))
-    return df.where(first_rejection(rules).isNull())
+    """Rows that no production rule rejects, with all their columns, whatever those are named.
+
+    A null, empty or blank text has no words, and goes. Repeated rows are judged one by one; an empty table gives an
+    empty one. A text is one expression's value at a time, so its length is bounded by a row of Spark alone.
+    """
+    rules = ordered_rules(df.select(quoted(text).alias("text")), production_rules(Measures.of(F.col("text"))))
+    known = {r.name: r for r in production_rules(Measures.of(quoted(text)))}
+    return df.where(first_rejection([known[r.name] for r in rules]).isNull())
 
 
 def rule_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the base measures, base_failed and kept of every row; a null text has no words and fails."""
+    """doc_id, the base measures, base_failed and kept of every row; other columns are not read.
+
+    A null, empty or blank text has no words and fails. Repeated rows give repeated rows, an empty table an empty one.
+    The base measures are asked for of every row, so the rules behind base_failed compare those columns; what only
+    a rule needs is computed if the cascade gets there.
+    """
     text = F.col("text")
-    extra = [r for r in production_rules(text) if r.name not in ("few_words", "repeated_words")]
-    verdict = first_rejection(ordered_rules(docs, extra))
-    measured = docs.select(
+    made = docs.select(
         "doc_id",
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
         word_chars(text).alias("word_chars"),
         symbols(text).alias("n_symbols"),
-        duplicate_lines(text).alias("n_dup_lines"),
+        let(worded_lines(text), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         "text",
     )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        measured.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), "text")
-        .withColumn("base_failed", failed)
-        .withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(verdict))
-        .withColumn("kept", F.col("failed_rule").isNull())
-        .drop("text", "failed_rule")
-    )
+    of_text = Measures.of(text)
+    held = Measures(F.col("n_words"), F.col("n_repeat_words"), F.col("word_chars"), F.col("n_symbols"), F.col("n_lines"), F.col("n_dup_lines"), of_text.n_capitals)
+    base = ("few_words", "repeated_words")
+    extra = [r for r in production_rules(held) if r.name not in base]
+    order = [r.name for r in ordered_rules(docs.select("text"), [r for r in production_rules(of_text) if r.name not in base])]
+    verdict = first_rejection(sorted(extra, key=lambda r: order.index(r.name)))
+    rows = made.select("doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"), "text")
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict.isNull())
+    return rows.withColumn("kept", kept).drop("text", "n_lines")
 
 
 #: DuckDB SQL with the same rows, over the table ``documents``.

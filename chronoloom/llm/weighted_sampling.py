@@ -16,8 +16,6 @@ from .shared import materialize
 
 #: Samples of a fingerprint; 8 hexadecimal digits each.
 SAMPLES = 32
-#: Samples that share a term's draw of r. Each sample by itself is exact; sharing saves a logarithm a sample.
-SHARED = 2
 _STEP = 0x9E3779B97F4A7C15
 #: Stands for a null doc_id among keys; the hash beside it tells the two apart.
 _NO_ID = -(2**63)
@@ -28,7 +26,7 @@ def _sample(term: str, log_weight: str, k: int) -> Column:
 
     It depends on x, t and k alone, so equal keys are equal samples. Draws are never 0: half a step is added.
     """
-    h = f"xxhash64({term} ^ {((k // SHARED + 1) * _STEP) % 2**63}L)"
+    h = f"xxhash64({term} ^ {((k + 1) * _STEP) % 2**63}L)"
     g = f"xxhash64({term} ^ {((k + 1_000_003) * _STEP) % 2**63}L)"
     r = f"(-ln((shiftrightunsigned({h}, 32) + 0.5D) * (({h} & 4294967295L) + 0.5D) * {2.0**-64!r}D))"
     c = f"(-ln((shiftrightunsigned({g}, 43) + 0.5D) * ((shiftrightunsigned({g}, 22) & 2097151L) + 0.5D) * {2.0**-42!r}D))"
@@ -38,10 +36,9 @@ def _sample(term: str, log_weight: str, k: int) -> Column:
     return F.expr(f"shiftleft(cast(({score} + 8D) * {2.0**33!r}D as bigint), 23) | (xxhash64({g} ^ {t}) & 8388607L)")
 
 
-def _sampled(terms: DataFrame, keys: list[str], samples: int, repeats: Column | None = None) -> DataFrame:
-    """``keys``, ``samples`` and the largest ``x`` of terms (``keys``, ``x``); counts are divided by ``repeats``."""
-    count = F.count("*").cast("double")
-    weighted = terms.groupBy(*keys, "x").agg((count if repeats is None else count / repeats).alias("n")).select(*keys, "x", F.log("n").alias("lw"))
+def _sampled(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """``keys``, ``samples`` and the largest ``x`` of terms (``keys``, ``x``)."""
+    weighted = terms.groupBy(*keys, "x").agg(F.count("*").cast("double").alias("n")).select(*keys, "x", F.log("n").alias("lw"))
     best = weighted.groupBy(*keys).agg(F.max("x").alias("x"), *[F.max(_sample("x", "lw", k)).alias(f"s{k}") for k in range(samples)])
     return best.select(*keys, "x", F.array(*[f"s{k}" for k in range(samples)]).alias("samples"))
 
@@ -89,7 +86,8 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
 
     The edited text ends in the beginning of the next document, by descending doc_id, in place of its last third. A
     null text is empty, a null doc_id comes last. Rows that repeat a doc_id follow each other by a hash of the text;
-    equal rows share one place in the order and have equal results.
+    equal rows share one place in the order and have equal results: their text is worked on once. Texts of any length
+    are read whole. Other columns are not read; an empty table gives an empty one.
 
     Whole texts are shuffled once: both uses of them read the same exchange. Only the borrowed beginnings, a third of
     the texts, are shuffled besides. Length and digest of the edited text ride along as terms of sides of their own,
@@ -101,6 +99,11 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
     places = base.select("a", "b", F.length("text").cast("long").alias("n"), "lost").groupBy("a", "b", "n", "lost").agg(F.count("*").alias("m"))
     turn = materialize(_in_turn(places))
     held = base.select("a", "b", "text")
+    twice = materialize(turn.where("m > 1").select("a", "b"))
+    if twice.limit(1).count():
+        # one text for each place: copies are reduced where they lie, before they meet
+        one = held.join(twice, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text"))
+        held = held.join(twice, ["a", "b"], "left_anti").unionByName(one)
     asked = turn.select(F.col("next_a").alias("da"), F.col("next_b").alias("db"), F.floor(F.col("n") / 3).cast("int").alias("take"), F.col("a").alias("ra"), F.col("b").alias("rb"), "n", "m")
     given = held.join(asked, (held["a"] == asked["da"]) & (held["b"] == asked["db"])).select("ra", "rb", "n", "m", "take", F.substring("text", F.lit(1), F.col("take")).alias("given"))
     given = given.groupBy("ra", "rb", "n", "m", "take").agg(F.first("given").alias("given"))
@@ -110,8 +113,7 @@ def fingerprint_report(documents: DataFrame) -> DataFrame:
     sides = [F.struct(F.lit(i).alias("side"), t.alias("t")) for i, t in enumerate([F.col("text"), F.col("edited"), *quarters])]
     w = edited.select("a", "b", "m", F.explode(F.array(*sides)).alias("e")).select("a", "b", "m", "e.side", F.explode(words(F.lower("e.t"))).alias("w"))
     terms = w.select("a", "b", "m", "side", F.when(F.col("side") < 2, F.xxhash64("w")).otherwise(F.conv("w", 16, -10).cast("long")).alias("x"))
-    # equal rows share a place: their words are counted together, then divided by how many rows there are
-    known = _sampled(terms, ["a", "b", "m", "side"], SAMPLES, F.col("m"))
+    known = _sampled(terms, ["a", "b", "side"], SAMPLES)
     of = lambda side, column: F.first(F.when(F.col("side") == side, F.col(column)), ignorenulls=True)
     marked = materialize(known.groupBy("a", "b").agg(of(0, "samples").alias("own"), of(1, "samples").alias("alt"), *[of(i + 2, "x").alias(f"q{i}") for i in range(4)]))
     later = marked.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("own").alias("later"))

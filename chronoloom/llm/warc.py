@@ -18,6 +18,8 @@ import io
 import json
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -28,13 +30,17 @@ RECORD = "warc_type string, record_id string, headers map<string,string>, block
 _RECORD_ARROW = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|h[1-6]|ul|ol|li|table|tr|td|th|dl|dt|dd|blockquote|pre|form|title|head|body|html)|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
+#: What stands in a tag behind its name: a quoted value may hold ``>``, a quote that never closes is a character.
+_REST = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b{_REST}>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAK = re.compile(rf"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|h[1-6]|ul|ol|li|table|tr|td|th|dl|dt|dd|blockquote|pre|form|title|head|body|html)|br|hr)\b{_REST}>", re.I)
+_TAG = re.compile(rf"</?[A-Za-z!?]{_REST}>")
 _GAP = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|form|source|video|audio)\b[^>]*?\s(href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(rf"<title\b{_REST}>(.*?)(?:</title|\Z)", re.S | re.I)
+_LINK = re.compile(rf"<(a|area|link|img|script|iframe|form|source|video|audio)\b({_REST})>", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_LINKING = ("href", "src", "action")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 
 
@@ -53,14 +59,17 @@ def plain_text(page: str) -> str:
 
 
 def links(page: str, base: str) -> list[dict[str, str]]:
-    """Outgoing links in order of appearance, resolved against the page's address."""
+    """Outgoing links in order of appearance, resolved against the page's address: the first linking attribute of a tag."""
     out = []
-    for tag, attribute, *values in _LINK.findall(_HIDDEN.sub(" ", page)):
-        target = html.unescape(next((v for v in values if v), "")).strip()
+    for tag, inside in _LINK.findall(_HIDDEN.sub(" ", page)):
+        attribute, value = next(((k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(inside) if k.lower() in _LINKING), ("", ""))
+        if not attribute:
+            continue
+        target = html.unescape(value).strip()
         try:
-            out.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": _join(base, target)})
+            out.append({"path": f"{tag.upper()}@/{attribute}", "url": _join(base, target)})
         except ValueError:  # not an address; kept as it stands
-            out.append({"path": f"{tag.upper()}@/{attribute.lower()}", "url": target})
+            out.append({"path": f"{tag.upper()}@/{attribute}", "url": target})
     return out
 
 
@@ -126,7 +135,8 @@ def derivatives(records: DataFrame, carry: str | None = None) -> DataFrame:
 
     A null block counts as empty; null headers as none; a response without an id gets one from its block's digest.
     ``carry`` names a long column that each derivative takes over; other columns besides a record's are not read.
-    Repeated responses give repeated derivatives with equal ids.
+    Repeated responses give repeated derivatives with equal ids; an empty table gives an empty one. A page is worked
+    on whole, however long; derivatives leave a task in batches of about 8 MB or one record.
     """
 
     def run(batches):
@@ -174,40 +184,94 @@ def serialized(records: DataFrame) -> DataFrame:
 
 
 def _bytes(headers: dict[str, str], block: bytes) -> bytes:
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+    """A record in its file form; a field whose value has several lines is one that repeats."""
+    fields = "".join(f"{k}: {x}\r\n" for k, v in headers.items() for x in (v or "").split("\n"))
+    return b"WARC/1.1\r\n" + fields.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+#: The names that the format defines, as it spells them; names in a file differ from them in case at most.
+_FIELDS = {
+    f.lower(): f
+    for f in (
+        "WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Concurrent-To", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-IP-Address", "WARC-Refers-To",
+        "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Target-URI", "WARC-Truncated", "WARC-Warcinfo-ID", "WARC-Filename", "WARC-Profile", "WARC-Identified-Payload-Type", "WARC-Segment-Number",
+        "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length",
+    )
+}
 
 
 def parse(stream: io.BufferedIOBase):
-    """Records of an uncompressed WARC stream: (type, id, headers, block). A file that ends early gives what it has."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record begins with {line[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[key.strip()] = value.strip()
-        yield headers.get("WARC-Type"), headers.get("WARC-Record-ID"), headers, stream.read(int(headers.get("Content-Length", 0)))
+    """Records of an uncompressed WARC stream: (type, id, headers, block).
 
+    A field that repeats has its values on lines of their own; a folded line continues the one before. A file that
+    ends early, or a gzip member that is cut, gives what records it has whole.
+    """
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record begins with {line[:40]!r}")
+            headers: dict[str, str] = {}
+            last = ""
+            while (line := stream.readline()).strip():
+                if line[:1] in b" \t" and last:
+                    headers[last] += " " + line.decode("utf-8", "replace").strip()
+                    continue
+                key, _, value = line.decode("utf-8", "replace").partition(":")
+                last = _FIELDS.get(key.strip().lower(), key.strip())
+                headers[last] = f"{headers[last]}\n{value.strip()}" if last in headers else value.strip()
+            length = int(headers.get("Content-Length", "0").split("\n")[0])
+            block = stream.read(length)
+            if len(block) < length:
+                return
+            yield headers.get("WARC-Type"), headers.get("WARC-Record-ID"), headers, block
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
+def _records(stream) -> Iterator[pa.RecordBatch]:
+    head = stream.peek(2)[:2]
+    data = io.BufferedReader(gzip.GzipFile(fileobj=stream)) if head == b"\x1f\x8b" else stream
+    out, size = [], 0
+    for record in parse(data):
+        out.append(record)
+        size += len(record[3])
+        if size > 8_000_000:
+            yield _batch(out)
+            out, size = [], 0
+    yield _batch(out)
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ``.warc`` and ``.warc.gz`` files; a file is one task's work, as gzip members have no index."""
 
-    def run(batches):
+#: Bytes of the largest file that is read as one value; a larger one is streamed from its file system.
+WHOLE_FILE = 256_000_000
+
+
+def read_warc(spark: SparkSession, path: str, whole_file: int = WHOLE_FILE) -> DataFrame:
+    """Records of ``.warc`` and ``.warc.gz`` files; a file is one task's work, as gzip members have no index.
+
+    Files up to ``whole_file`` bytes come through Spark's reader. Larger ones are opened by their address where they
+    are read and streamed, so a task holds one record, whatever the file's size.
+    """
+
+    def small(batches):
         for batch in batches:
             for content in batch.column("content"):
-                data, out, size = content.as_py(), [], 0
-                stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-                for record in parse(io.BufferedReader(stream)):
-                    out.append(record)
-                    size += len(record[3])
-                    if size > 8_000_000:
-                        yield _batch(out)
-                        out, size = [], 0
-                yield _batch(out)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+                yield from _records(io.BufferedReader(io.BytesIO(content.as_py())))
+
+    def large(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                system, inside = fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", name))
+                with system.open_input_stream(inside, compression=None) as source:
+                    yield from _records(io.BufferedReader(source, 1 << 20))
+
+    files = spark.read.format("binaryFile").load(path)
+    few = files.where(F.col("length") <= whole_file).select("content").mapInArrow(small, RECORD)
+    names = files.where(F.col("length") > whole_file).select("path")
+    return few.unionByName(names.mapInArrow(large, RECORD))
 
 
 def derivative_report(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORD_BITS = 64
 #: Characters of text whose unknown pre-tokens are merged together.
 TEXT_BLOCK = 6_000_000
+#: Characters of the longest chunk and pre-token that outlive their block in memory.
+REMEMBER_CHARS = 64
 
 
 class RankQueue:
@@ -224,8 +226,8 @@ class Codec:
             i = after[i]
         return tuple(out)
 
-    def _learn(self, texts: list[str]) -> None:
-        """Merge what is not remembered of these texts."""
+    def _learn(self, texts: list[str]) -> list[str]:
+        """Merge what is not remembered of these texts. Returns the long chunks, to be forgotten after this block."""
         unknown: set[str] = set()
         for text in texts:
             unknown.update(CHUNK.findall(text))
@@ -239,6 +241,10 @@ class Codec:
         known = self.pieces
         for chunk, parts in parted.items():
             self.chunks[chunk] = known[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([known[p] for p in parts]))
+        for piece in pieces:
+            if len(piece) > REMEMBER_CHARS:
+                del known[piece]
+        return [c for c in parted if len(c) > REMEMBER_CHARS]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
         """Ids of each text, in order. Texts are taken in blocks, so memory is bounded by a block or one text."""
@@ -252,10 +258,12 @@ class Codec:
         yield from self._encode_block(block)
 
     def _encode_block(self, block: list[str]) -> Iterator[list[int]]:
-        self._learn(block)
+        long = self._learn(block)
         get = self.chunks.__getitem__
         for text in block:
             yield list(chain.from_iterable(map(get, CHUNK.findall(text))))
+        for chunk in long:
+            del self.chunks[chunk]
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
@@ -319,6 +327,7 @@ class BytePairEncoding:
 def token_digests(docs: DataFrame, bpe: BytePairEncoding) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``; other columns are not read.
 
-    An empty table gives an empty one; repeated rows give repeated rows.
+    An empty table gives an empty one; repeated rows give repeated rows. A null text is the empty text; a text of any
+    length is one unit of work, held in memory once with its ids.
     """
     return docs.select("doc_id", bpe.digest(F.col("text")).alias("d")).select("doc_id", "d.*")

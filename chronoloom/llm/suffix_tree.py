@@ -43,9 +43,9 @@ HOT_SHARE = 2e-6
 #: Bits of a sieve. More strings than this only let more rows through.
 SIEVE_BITS = 1 << 26
 #: Strings that a task counts before it deals them out.
-FLUSH_GRAMS = 1_500_000
+FLUSH_GRAMS = 400_000
 #: Strings, about, that one task of a shuffle gets.
-PER_TASK = 3_000_000
+PER_TASK = 1_500_000
 
 #: Stand for the end of a text, counted as a token, and for its beginning, which is none.
 END_HASH, START_HASH = -0x5EED_0E0D, -0x5EED_57A7
@@ -113,6 +113,7 @@ _TABLE, _FAR, _OWN, _SUMS = 0, 1, 2, 3
 
 def _deal(columns: list[np.ndarray], parts: int, kind: int) -> pa.RecordBatch:
     """Arrays of 8-byte values, dealt by the upper bits of the first, the key: one row for each part that gets any."""
+    pa.default_memory_pool().release_unused()
     rows = np.stack([c.view(np.int64) for c in columns])
     key = rows[0].view(np.uint64)
     if len(key) > 1 and not (key[1:] >= key[:-1]).all():

@@ -21,7 +21,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are worked on at a time, or one text.
-SPAN = 500_000
+SPAN = 300_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

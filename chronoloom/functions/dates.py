@@ -18,6 +18,12 @@ def _part(match: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(match, pattern, group)
 
 
+def _count(match: Column, pattern: str) -> Column:
+    """The number in a match; one of over 300 million, seven times which no int holds, is the highest that is."""
+    n = F.coalesce(_part(match, pattern, 1).try_cast("bigint"), F.lit(300_000_000))
+    return F.least(n, F.lit(300_000_000)).cast("int")
+
+
 def _month(name: Column) -> Column:
     return ((F.instr(F.lit(_FIRSTS), F.substring(F.lower(name), 1, 3)) + 2) / 3).cast("int")
 
@@ -60,11 +66,13 @@ def relative_dates(text: Column, day: Column) -> Column:
     """today, yesterday and tomorrow once each; every ``N days|weeks ago``; last week and last month (30 days)."""
     none = F.array().cast(REFERENCE)
     once = lambda word, n: F.when(text.rlike(rf"(?i)\b{word}\b"), F.array(_made("relative", F.date_add(day, n), F.date_add(day, n), F.lit(word), F.lit(n)))).otherwise(none)
-    ago = r"(?i)\b(\d{1,5})\s+(day|week)s?\s+ago\b"
+    ago = r"(?i)\b(\d+)\s+(day|week)s?\s+ago\b"
 
     def back(m: Column) -> Column:
-        n = -_part(m, ago, 1).cast("int") * F.when(F.lower(_part(m, ago, 2)) == "week", 7).otherwise(1)
-        return _made("relative", F.date_add(day, n), F.date_add(day, n), m, n)
+        n = -_count(m, ago) * F.when(F.lower(_part(m, ago, 2)) == "week", 7).otherwise(1)
+        # before the calendar begins there is an offset and no date
+        at = F.when(F.datediff(day, F.lit("0001-01-01").cast("date")) + n >= 0, F.date_add(day, n))
+        return _made("relative", at, at, m, n)
 
     return F.concat(once("today", 0), once("yesterday", -1), once("tomorrow", 1), F.transform(_found(text, ago), back), once("last week", -7), once("last month", -30))
 
@@ -85,18 +93,29 @@ def fiscal_dates(text: Column) -> Column:
 
 def durations(text: Column) -> Column:
     """``for|over N months|weeks|days``."""
-    p = r"(?i)\b(?:for|over)\s+(\d{1,5})\s+(month|week|day)s?\b"
+    p = r"(?i)\b(?:for|over)\s+(\d+)\s+(month|week|day)s?\b"
     none = F.lit(None).cast("date")
 
     def made(m: Column) -> Column:
-        n, unit = _part(m, p, 1).cast("int"), F.lower(_part(m, p, 2))
+        n, unit = _count(m, p), F.lower(_part(m, p, 2))
         return _made("duration", none, none, m, F.when(unit == "week", n * 7).when(unit == "day", n), F.when(unit == "month", n))
 
     return F.transform(_found(text, p), made)
 
 
-def references(df: DataFrame, text: str, moment: str) -> DataFrame:
-    """All rows, one a reference, in the order of the layers; ``moment`` is what relative words are counted from."""
+#: What a text must hold for a layer to find anything in it: one cheap search instead of many.
+_HINTS = {
+    "date": r"(?i)\b\d{4}-\d{2}|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d", "relative": r"(?i)today|yesterday|tomorrow|ago\b|last\s", "range": r"\bQ[1-4]\s|\bFY\d", "duration": r"(?i)\b(for|over)\s+\d",
+}
+
+
+def references(df: DataFrame, text: str, moment: str, kinds: tuple[str, ...] = tuple(_HINTS)) -> DataFrame:
+    """All rows, one a reference, in the order of the layers; ``moment`` is what relative words are counted from.
+
+    Only layers of ``kinds`` (date, relative, range, duration) are evaluated, each only on texts that may hold any.
+    """
     t, day = F.col(text), F.to_date(F.col(moment))
-    every = F.concat(iso_dates(t), iso_months(t), written_dates(t), relative_dates(t, day), fiscal_dates(t), durations(t))
-    return df.withColumn("ref", F.explode(every)).select(*[c for c in df.columns], "ref.*")
+    layers = {"date": lambda: F.concat(iso_dates(t), iso_months(t), written_dates(t)), "relative": lambda: relative_dates(t, day), "range": lambda: fiscal_dates(t), "duration": lambda: durations(t)}
+    none = F.array().cast(REFERENCE)
+    every = [F.when(t.rlike(_HINTS[k]), layers[k]()).otherwise(none) for k in layers if k in kinds]
+    return df.withColumn("ref", F.explode(F.concat(*every))).select(*[c for c in df.columns], "ref.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ INTERROGATIVES = ("what", "who", "where", "when", "why", "how", "tell", "me", "s
 PERSON, NEUTER, PLURAL = ("he", "she", "him", "her", "his", "hers"), ("it", "its", "this", "that", "these", "those"), ("they", "them", "their", "theirs", "we", "us", "our")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -38,7 +45,7 @@ def ngrams(words: Column, most: int = 5) -> Column:
 def sentences(text: Column) -> Column:
     """Parts behind ``. ! ?`` and a blank, or at an empty line; trimmed, empty ones dropped."""
     marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", "$1\x01"), r"\n\s*\n", "\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pronouns(text: Column) -> Column:
@@ -57,23 +64,114 @@ def name_quality(name: Column) -> Column:
     return F.when(name.rlike(r"^\p{Lu}"), 1.0).when(name.rlike(r"\p{N}"), 0.95).otherwise(0.75)
 
 
-def strip_suffix(name: Column, suffixes: tuple[str, ...], preserve: tuple[str, ...] = ()) -> Column:
-    """A generic last word goes if what remains begins with a capital; ``preserve`` names stay."""
-    bare = F.regexp_replace(name, rf"(?i)\s+({'|'.join(suffixes)})$", "")
-    return F.when(name.isin(*preserve) | ~bare.rlike(r"^\p{Lu}"), name).otherwise(bare)
+def metadata(pairs: Column, tags: Column) -> Column:
+    """JSON object of a map with a list of tags under ``tags``; nothing to say gives null.
 
+    The list is spliced in as JSON, so it stays a list beside values that are strings. A pair named ``tags`` gives way.
+    """
+    plain = F.map_filter(F.coalesce(pairs, F.create_map().cast("map<string,string>")), lambda k, _: (F.size(F.coalesce(tags, F.array())) == 0) | (k != "tags"))
+    listed = F.concat(F.lit('"tags":'), F.to_json(tags))
+    fields = F.when(F.size(plain) > 0, F.regexp_replace(F.to_json(plain), r"(?s)^\{(.*)\}$", "$1"))
+    body = F.concat_ws(",", fields, F.when(F.size(F.coalesce(tags, F.array())) > 0, listed))
+    return F.when(body != "", F.concat(F.lit("{"), body, F.lit("}")))
 
-def package_name(name: Column, known: dict[str, str]) -> Column:
-    """Canonical technology name: no scope, no version, then the table of known packages."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^@[^/]+/", ""), r"@[\w.^~-]+$", ""), r"\s+v?\d+(\.\d+)*$", "")
-    table = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k.lower(), v)]) if known else F.create_map().cast("map<string,string>")
-    return F.coalesce(F.try_element_at(table, F.lower(bare)), bare)
 
+def tag_list(text: Column) -> Column:
+    """Tags parted by commas, each without blanks around it; an empty text is one empty tag, null has none."""
+    return F.transform(F.split(text, ","), lambda x: F.trim(x))
 
-def metadata(pairs: Column, tags: Column) -> Column:
-    """JSON of a map with its tags; nothing to say gives null."""
-    with_tags = F.when(F.size(tags) > 0, F.map_concat(pairs, F.create_map(F.lit("tags"), F.to_json(tags)))).otherwise(pairs)
-    return F.when(F.size(with_tags) > 0, F.to_json(with_tags))
+
+def parsed_time(text: Column, fallback: Column | None = None) -> Column:
+    """A moment in RFC 3339; what cannot be read becomes ``fallback``, now if there is none."""
+    return F.coalesce(F.try_to_timestamp(text), F.current_timestamp() if fallback is None else fallback)
+
+
+def words_with_offsets(text: Column) -> Column:
+    """Words between blanks of any kind as (word, start, end): parts of the text and their running lengths."""
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=\S)(?=\s)|(?<=\s)(?=\S)"), lambda x: x != "")
+    start = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.when(x.rlike(r"^\S"), F.concat(a["out"], F.array(F.struct(x.alias("word"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"))))).otherwise(a["out"]).alias("out")),
+    )
+    return start["out"]
+
+
+def spans_of(text: Column, name: Column) -> Column:
+    """(start, end) of every place of a name, overlapping ones too; an empty name has none.
+
+    The text is cut before every place, so the places are running lengths: one pass over a text of any length.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    pieces = F.split(text, quoted)
+    ends = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+    )["out"]
+    starts = F.when(F.startswith(text, name), ends).otherwise(F.slice(ends, F.lit(2), F.size(ends)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    found = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + F.length(name)).alias("end")))
+    return F.when((F.length(name) > 0) & (F.length(text) >= F.length(name)), found).otherwise(none)
+
+
+def pair_context(text: Column, head: Column, tail: Column) -> Column:
+    """The sentences, parted by a full stop and a blank, from the first of the two names to the last; else the text."""
+
+    def cut(p: Column) -> Column:
+        before, after = F.substring(text, F.lit(1), p["first"] - 1), F.substring(text, p["last"], F.length(text))
+        begin = F.when(F.contains(before, F.lit(". ")), F.length(before) - F.instr(F.reverse(before), F.lit(" .")) + 2).otherwise(F.lit(1))
+        ends = [F.instr(after, F.lit(stop)) for stop in (". ", ".\n")]
+        stop = F.when(ends[0] > 0, ends[0]).when(ends[1] > 0, ends[1]).otherwise(F.length(after))
+        return F.trim(F.substring(text, begin, p["last"] - begin + stop))
+
+    low = F.lower(text)
+    h, t = F.instr(low, F.lower(head)), F.instr(low, F.lower(tail))
+    places = F.struct(F.least(h, t).alias("first"), F.greatest(h + F.length(head), t + F.length(tail)).alias("last"))
+    return F.when((h > 0) & (t > 0), let(places, cut)).otherwise(text)
+
+
+def one_marker(text: Column, keep: str) -> Column:
+    """A marked text with the markers of one entity only."""
+    other = {"E1": "E2", "E2": "E1"}[keep]
+    return F.trim(F.regexp_replace(text, rf"\[/?{other}\]", ""))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def softmax(scores: Column) -> Column:
+    """Shares of an array of scores, from differences to the highest."""
+    top = F.array_max(scores)
+    raised = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(raised, lambda x: x / total)
+
+
+def filled(template: str, fields: dict[str, Column]) -> Column:
+    """``template`` with each ``{name}`` replaced, in the order of ``fields``; a null field is empty."""
+    out = F.lit(template)
+    for name, value in fields.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+#: What is hidden from a model: addresses, account and card numbers, keys. The place of a match names its stand-in.
+_PRIVATE = r"[\w.+-]+@[\w-]+\.[\w.-]+|\b(?:\d[ -]?){13,19}\b|\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b|\b(?:sk|pk|ghp|xox[a-z])[_-][A-Za-z0-9_-]{12,}\b|\bAKIA[A-Z0-9]{14,}\b"
+
+
+def pseudonymized(text: Column) -> Column:
+    """struct(text, hidden): private values replaced by ``<PRIVATE_n>``, and the map from stand-in to value."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PRIVATE), F.lit(0)))
+    pairs = F.transform(found, lambda x, i: F.struct(F.concat(F.lit("<PRIVATE_"), i.cast("string"), F.lit(">")).alias("k"), x.alias("v")))
+    # longer values first: one may be part of another
+    order = F.array_sort(pairs, lambda a, b: F.length(b["v"]) - F.length(a["v"]))
+    out = F.aggregate(order, F.coalesce(text, F.lit("")), lambda t, p: F.replace(t, p["v"], p["k"]))
+    return F.struct(out.alias("text"), F.map_from_entries(pairs).alias("hidden"))
+
+
+def rehydrated(name: Column, hidden: Column) -> Column:
+    """The value that a name stands for; any other name as it is."""
+    return F.coalesce(F.try_element_at(hidden, name), name)
 
 
 def is_reference(name: Column) -> Column:
@@ -98,3 +196,13 @@ def json_object(text: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     step = lambda p, unit: F.concat(F.format_number(n / 1024.0**p, 1), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, step(1, " KB")).when(n < 1024**3, step(2, " MB")).otherwise(step(3, " GB"))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most ``most`` characters, the last three dots where something was cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def verified(content: Column, expected: Column) -> Column:
+    """Whether content has the SHA-256 that is expected; a digest that is still pending is not checked."""
+    return F.lower(expected).isin("", "pending") | (F.sha2(content, 256) == F.lower(expected))

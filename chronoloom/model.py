@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.stored import kept
+
 EPISODES = "id string, content string, source string, recorded_at timestamp, metadata string"
 ENTITIES = "id string, name string, entity_type string, summary string, created_at timestamp, metadata string"
 EDGES = "id string, source_id string, target_id string, relation string, fact string, valid_from timestamp, valid_until timestamp, recorded_at timestamp, confidence double, episode_id string, metadata string"
@@ -14,6 +16,22 @@ EMBEDDINGS = "id string, embedding array<float>"
 TABLES = {"episodes": EPISODES, "entities": ENTITIES, "edges": EDGES, "mentions": MENTIONS, "aliases": ALIASES, "embeddings": EMBEDDINGS}
 
 
+class GraphError(Exception):
+    """What goes wrong with a graph."""
+
+
+class NotFound(GraphError, LookupError):
+    """No store, or no such row."""
+
+
+class AlreadyExists(GraphError, FileExistsError):
+    """A store is there already."""
+
+
+class InvalidInput(GraphError, ValueError):
+    """An argument that says nothing that can be done."""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +76,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.concat_ws("|", "relation", "source_id", "target_id").alias("id"), "source_id", "target_id", "relation", "valid_from", "valid_until")
 
 
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edges``, derived once an application and kept as a table sorted by source, as a store would hold them."""
+
+    def make(folder: str) -> DataFrame:
+        made = edges(spark, sf_dir)
+        made.repartitionByRange("source_id").sortWithinPartitions("source_id").write.parquet(folder)
+        return spark.read.schema(made.schema).parquet(folder)
+
+    return kept(spark, ("edges", sf_dir), make)
+
+
 #: The same tables as DuckDB common table expressions.
 EPISODES_SQL = "episodes AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content, source, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS recorded_at FROM documents)"
 ENTITIES_SQL = """entities AS (SELECT 'r:' || r_regionkey AS id, r_name AS name, 'Region' AS entity_type FROM region UNION ALL SELECT 'n:' || n_nationkey, n_name, 'Nation' FROM nation

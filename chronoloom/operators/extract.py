@@ -9,10 +9,11 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NEUTER, PERSON, PLURAL
+from ..functions.names import canonical, retyped
+from ..functions.text import NEUTER, PERSON, PLURAL, strip_article
 
 #: Endings that make a name a service or a component.
 SERVICE_ENDINGS = ("Service", "Provider")
@@ -22,7 +23,7 @@ COMPONENT_ENDINGS = (
 )
 #: Confidence of a name of the dictionary, of a name by suffix, of a pronoun.
 KNOWN, SUFFIX, PRONOUN = 0.85, 0.80, 0.45
-#: A dictionary travels with the task, so its size is held to this.
+#: Names up to this many travel with the task; more are a table that meets the texts in a join.
 LARGEST_DICTIONARY = 200_000
 
 MENTIONS = "array<struct<text:string,entity_type:string,start:int,end:int,confidence:double>>"
@@ -41,7 +42,7 @@ class Dictionary:
 
     def __init__(self, names: dict[str, str]):
         if len(names) > LARGEST_DICTIONARY:
-            raise ValueError(f"{len(names)} names; join texts and names instead of sending them to each task")
+            raise ValueError(f"{len(names)} names: use mentions_by_join")
         self.names: dict[str, list[tuple[str, str]]] = {}
         for name, kind in names.items():
             piece = _CHUNK.match(name)
@@ -78,28 +79,30 @@ def scan_endings(text: str, have: set[str]) -> list[dict]:
 
 
 def without_overlaps(mentions: list[dict], known: frozenset[str] = frozenset()) -> list[dict]:
-    """No two of the result overlap: a known name wins, then confidence (by over 0.01), then the shorter, then the earlier."""
-    rank = lambda m: (m["text"] not in known, -round(m["confidence"], 2), m["end"] - m["start"], m["start"], m["text"])
+    """No two of the result overlap. Each mention, by start and length, meets those kept before it that it overlaps.
+
+    It takes the place of such a one if it alone is a known name, is surer by over 0.01, or is as sure and shorter;
+    else it goes, at the first that holds its place.
+    """
     kept: list[dict] = []
-    for cluster in _clusters(sorted(mentions, key=lambda m: (m["start"], m["end"]))):
-        free: list[dict] = []
-        for m in sorted(cluster, key=rank):
-            if all(m["end"] <= x["start"] or x["end"] <= m["start"] for x in free):
-                free.append(m)
-        kept += free
-    return sorted(kept, key=lambda m: (m["start"], m["end"]))
-
-
-def _clusters(ordered: list[dict]) -> list[list[dict]]:
-    """Runs of mentions that hang together by overlaps."""
-    out: list[list[dict]] = []
-    reach = -1
-    for m in ordered:
-        if not out or m["start"] >= reach:
-            out.append([])
-        out[-1].append(m)
-        reach = max(reach, m["end"]) if len(out[-1]) > 1 else m["end"]
-    return out
+    for m in sorted(mentions, key=lambda m: (m["start"], m["end"] - m["start"])):
+        stays = True
+        while stays and kept and m["start"] < kept[-1]["end"] and m["end"] > kept[-1]["start"]:
+            if _beats(m, kept[-1], known):
+                kept.pop()
+            else:
+                stays = False
+        if stays:
+            kept.append(m)
+    return kept
+
+
+def _beats(m: dict, other: dict, known: frozenset[str]) -> bool:
+    if (m["text"] in known) != (other["text"] in known):
+        return m["text"] in known
+    if abs(m["confidence"] - other["confidence"]) > 0.01:
+        return m["confidence"] > other["confidence"]
+    return m["end"] - m["start"] < other["end"] - other["start"]
 
 
 def resolve_pronouns(text: str, mentions: list[dict]) -> list[dict]:
@@ -134,6 +137,25 @@ def dictionary_mentions(text: Column, names: dict[str, str]) -> Column:
     return _per_text(Dictionary(names).scan, text)
 
 
+def mentions_by_join(texts: DataFrame, names: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, text, entity_type, start, end, confidence): the first whole-word place of every name in every text.
+
+    For any number of names (name, entity_type): a name's first run of letters and digits meets the texts' runs, and
+    the whole name is compared where they meet. A run that many texts hold, such as an article, is no row unless a name
+    begins with it: runs are first joined to the distinct first runs. Of a name with several types the least is taken.
+    """
+    piece = F.regexp_extract("name", "^[A-Za-z0-9]+", 0)
+    known = names.where(piece != "").groupBy("name").agg(F.min("entity_type").alias("entity_type")).withColumn("_k", piece)
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
+    split = texts.select(key, text, F.posexplode(parts).alias("_n", "_k")).withColumn("_e", F.sum(F.length("_k")).over(Window.partitionBy(key).orderBy("_n")))
+    runs = split.where(F.col("_k").rlike("^[A-Za-z0-9]")).select(key, text, "_k", (F.col("_e") - F.length("_k")).cast("int").alias("start"))
+    met = runs.join(known, "_k").withColumn("end", (F.col("start") + F.length("name")).cast("int"))
+    behind = F.substring(F.col(text), F.col("end") + 1, F.lit(1))
+    met = met.where((F.substring(F.col(text), F.col("start") + 1, F.length("name")) == F.col("name")) & ~behind.rlike("^[A-Za-z0-9]"))
+    first = met.groupBy(key, "name", "entity_type").agg(F.min("start").alias("start"))
+    return first.select(key, F.col("name").alias("text"), "entity_type", "start", (F.col("start") + F.length("name")).cast("int").alias("end"), F.lit(KNOWN).alias("confidence"))
+
+
 def mentions(text: Column, names: dict[str, str], pronouns: bool = True, least: float = 0.5) -> Column:
     """The chain: names, names by suffix, overlaps removed, those below ``least`` dropped, then pronouns."""
     dictionary, known = Dictionary(names), frozenset(names)
@@ -147,11 +169,50 @@ def mentions(text: Column, names: dict[str, str], pronouns: bool = True, least:
     return _per_text(work, text)
 
 
+def local_mentions(text: Column, names: dict[str, str], recognised: Column | None = None, vocabulary: dict[str, str] | None = None, least: float = 0.5) -> Column:
+    """The whole chain of a text's mentions, each step on what the last one left.
+
+    What a model recognised from ``least`` (an array like the result's, none by default), pronouns, names of the
+    dictionary that are not there yet, names by ending, types by vocabulary, canonical names, overlaps removed, leading
+    articles dropped with the start moved along.
+    """
+    dictionary, known = Dictionary(names), frozenset(names)
+
+    def found(texts: pa.Array, given: pa.Array) -> pa.Array:
+        out = []
+        for t, g in zip(texts.to_pylist(), given.to_pylist(), strict=True):
+            t = t or ""
+            sure = [m for m in g or [] if m["confidence"] >= least]
+            own = dictionary.scan(t)
+            named = sure + [m for m in own if m["text"].lower() not in {x["text"].lower() for x in sure}]
+            named += scan_endings(t, {m["text"] for m in named})
+            out.append(named + resolve_pronouns(t, named))
+        return pa.array(out, _ARROW)
+
+    def parted(given: pa.Array) -> pa.Array:
+        return pa.array([without_overlaps(g or [], known) for g in given.to_pylist()], _ARROW)
+
+    none = F.array().cast(MENTIONS)
+    first = F.arrow_udf(found, MENTIONS)(text, none if recognised is None else recognised)
+    typed = F.transform(first, lambda m: m.withField("entity_type", retyped(m["text"], m["entity_type"], vocabulary)))
+    single = F.arrow_udf(parted, MENTIONS)(canonical(typed, tuple(names)[:500]))
+
+    def bare(m: Column) -> Column:
+        name = strip_article(m["text"])
+        return m.withField("start", (m["start"] + F.length(m["text"]) - F.length(name)).cast("int")).withField("text", name)
+
+    return F.transform(single, bare)
+
+
+#: Parts of a text that speak of versions, code or trouble.
+MESSY = ("@", "v2", "v3", "#", "::", "->", "stack", "error:", "broke", "outage", "incident")
+
+
 def escalates(text: Column, found: Column, types: tuple[str, ...]) -> Column:
-    """Whether a text deserves a stronger extractor: thin, doubtful or badly typed mentions, or few names in many words."""
+    """Whether a text deserves a stronger extractor: thin, doubtful or badly typed mentions, few names in many words, or a messy text."""
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
     n = F.size(found)
     mean = F.aggregate(found, F.lit(0.0), lambda s, m: s + m["confidence"]) / F.greatest(n, F.lit(1))
     typed = F.size(F.filter(found, lambda m: m["entity_type"].isin(*types))) / F.greatest(n, F.lit(1))
     unique = F.size(F.array_distinct(F.transform(found, lambda m: F.lower(m["text"]))))
-    return (n * 10.0 / F.greatest(words, F.lit(1)) < 1.5) | (mean < 0.4) | (typed < 0.6) | ((words > 25) & (unique < 5))
+    return (n * 10.0 / F.greatest(words, F.lit(1)) < 1.5) | (mean < 0.4) | (typed < 0.6) | ((words > 25) & (unique < 5)) | F.coalesce(F.lower(text).rlike("|".join(MESSY)), F.lit(False))

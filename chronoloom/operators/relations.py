@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_reference, name_quality
+from .direction import Pair, first_is_head
 
 #: Parts of a sentence that speak of a relation.
 KEYWORDS = {
@@ -53,7 +54,7 @@ def _keyword_position(sentence: Column, words: tuple[str, ...]) -> Column:
     return F.least(*[F.when(p > 0, F.greatest(p - 2, F.lit(0)) + len(w) // 2) for p, w in zip(at, words, strict=True)])
 
 
-def _allowed(relation: Column, head: Column, tail: Column) -> Column:
+def allowed(relation: Column, head: Column, tail: Column) -> Column:
     out = F.lit(False)
     for name, (heads, tails) in SCHEMA.items():
         out = out | ((relation == name) & head.isin(*heads) & tail.isin(*tails))
@@ -92,7 +93,7 @@ def relations(texts: DataFrame, mentions: DataFrame, key: str = "id", least: flo
 
     A sentence that holds a keyword joins an entity of its own with one of its own or of a neighbouring sentence; the
     pair that scores best is kept (of ``introduced``, two in a sentence of four entities, the second at 80 % or more).
-    If only the other direction fits the schema, the pair is turned. Null texts and texts without mentions give no row.
+    Cues of the sentence, the schema and the order of the text say which of the two is the head. Null texts and texts without mentions give no row.
     """
     sentences, placed = _placed(texts, mentions, key)
     hits = F.array(*[F.struct(F.lit(r).alias("relation"), _keyword_position(F.col("sentence"), w).alias("at")) for r, w in KEYWORDS.items()])
@@ -104,15 +105,20 @@ def relations(texts: DataFrame, mentions: DataFrame, key: str = "id", least: flo
     tails = named.select(key, F.explode(F.array(F.col("number") - 1, F.col("number"), F.col("number") + 1)).alias("number"), F.col("number").alias("own"), F.col("name").alias("tail"), F.col("entity_type").alias("tail_type"), F.col("start").alias("tail_at"))
     pairs = spoken.join(heads, [key, "number"]).join(tails, [key, "number"]).where("head <> tail").withColumn("relation", F.col("h.relation"))
     pairs = pairs.where(~((F.col("head_type") == "Person") & (F.col("tail_type") == "Person")) | F.col("relation").isin("chose", "rejected"))
-    forward, back = _allowed(F.col("relation"), F.col("head_type"), F.col("tail_type")), _allowed(F.col("relation"), F.col("tail_type"), F.col("head_type"))
+    forward, back = allowed(F.col("relation"), F.col("head_type"), F.col("tail_type")), allowed(F.col("relation"), F.col("tail_type"), F.col("head_type"))
     middle = F.col("from") + F.col("h.at")
     distance = (F.abs(F.col("head_at") - middle) + F.abs(F.col("tail_at") - middle)) / 2
     score = F.when(F.col("own") == F.col("number"), 0.65).otherwise(0.45) / (1 + distance / 50) * F.when(forward | back, 1.0).otherwise(0.55)
     score = score * (name_quality(F.col("head")) + name_quality(F.col("tail"))) / 2 * _boost(F.col("relation"), F.col("head_type"), F.col("tail_type"))
-    pairs = pairs.withColumn("confidence", F.round(score, 6)).withColumn("forward", forward).withColumn("turn", back & ~forward)
+    pairs = pairs.withColumn("confidence", F.round(score, 6)).withColumn("forward", forward).withColumn("backward", back)
     order = Window.partitionBy(key, "number", "relation").orderBy(F.desc("confidence"), F.desc("forward"), "head_at", "tail_at", "head", "tail")
     placed_pairs = pairs.withColumn("_r", F.row_number().over(order)).withColumn("_best", F.max("confidence").over(Window.partitionBy(key, "number", "relation")))
     second = (F.col("_r") == 2) & (F.col("relation") == "introduced") & (F.col("n_entities") >= 4) & (F.col("confidence") >= 0.8 * F.col("_best"))
     kept = placed_pairs.where(((F.col("_r") == 1) | second) & (F.col("confidence") >= least))
-    turned = kept.select(key, F.when(F.col("turn"), F.col("tail")).otherwise(F.col("head")).alias("head"), "relation", F.when(F.col("turn"), F.col("head")).otherwise(F.col("tail")).alias("tail"), "confidence")
+    ordered = F.col("head_at") <= F.col("tail_at")
+    first = lambda a, b: F.when(ordered, F.col(a)).otherwise(F.col(b))
+    pair = Pair(F.col("_low"), first("head", "tail"), first("tail", "head"), first("head_type", "tail_type"), first("tail_type", "head_type"))
+    leads = first_is_head(F.col("relation"), pair, first("forward", "backward"), first("backward", "forward"))
+    turned = kept.withColumn("_leads", leads).withColumn("_head", F.when(F.col("_leads"), pair.names[0]).otherwise(pair.names[1])).withColumn("_tail", F.when(F.col("_leads"), pair.names[1]).otherwise(pair.names[0]))
+    turned = turned.select(key, F.col("_head").alias("head"), "relation", F.col("_tail").alias("tail"), "confidence")
     return turned.groupBy(key, "head", "relation", "tail").agg(F.max("confidence").alias("confidence"))

@@ -41,21 +41,64 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def by_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names (name, ..) with ``canonical_id`` where an alias equals the name, ASCII case aside."""
-    known = aliases.select(F.lower("alias_name").alias("_a"), "canonical_id").dropDuplicates(["_a"])
+    """names (name, ..) with ``canonical_id`` where an alias equals the name, ASCII case aside; of several owners the least."""
+    known = aliases.groupBy(F.lower("alias_name").alias("_a")).agg(F.min("canonical_id").alias("canonical_id"))
     return names.join(known, F.lower("name") == F.col("_a"), "left").drop("_a")
 
 
-def fuzzy(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
-    """(name, entity_type, match, similarity) of the best known name of the same type, if it reaches ``least``.
+def _letters(name: Column) -> Column:
+    """Each character of the lower-cased name with the number of its occurrence, rarest characters first.
+
+    Two names share m characters exactly if their sets of these have m elements in common.
+    """
+    chars = F.filter(F.split(F.lower(name), ""), lambda c: c != "")
+    tagged = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).cast("string")))
+    # a fixed order, from characters that few names hold to those that most do; it only has to be the same everywhere
+    order = F.lit("etaoinsrhldcumfpgwybvkxjqz 0123456789")
+    place = lambda t: F.instr(order, F.substring(t, 1, 1))
+    keyed = F.array_sort(F.transform(tagged, lambda t: F.struct((-F.when(place(t) == 0, 99).otherwise(place(t))).alias("p"), t.alias("t"))))
+    return F.transform(keyed, lambda x: x["t"])
+
+
+def least_shared(a: Column, b: Column, least: float) -> Column:
+    """Characters that names of lengths a and b must share to reach ``least``.
+
+    A prefix of four adds four tenths of what is missing, so the plain similarity must reach (least - 0.4) / 0.6; its
+    third part, for order, is one at most.
+    """
+    plain = max(0.0, (least - 0.4) / 0.6)
+    return F.ceil((3 * plain - 1) * a * b / (a + b) - 1e-9)
 
-    Distinct names only, equi-joined on type and on a bucket of length: names whose lengths differ by more than four
-    times cannot reach 0.85, and no shorter bound is lossless.
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
+    """(name, entity_type, match, similarity) of all pairs of names of one type that reach ``least``, each once.
+
+    No pair is lost: a pair that reaches it shares so many characters that it shares one of the first few of each name
+    in the order of _letters. Names meet on those, are checked for the number that they share, and only then compared.
     """
-    level = F.floor(F.log2(F.greatest(F.length("name"), F.lit(1)))).cast("int")
-    left = new.select("name", "entity_type").distinct().withColumn("_l", F.explode(F.sequence(F.greatest(level - 2, F.lit(0)), level + 2)))
-    right = known.select(F.col("name").alias("match"), "entity_type").distinct().withColumn("_l", F.floor(F.log2(F.greatest(F.length("match"), F.lit(1)))).cast("int"))
-    pairs = left.join(right, ["entity_type", "_l"]).where(4 * F.least(F.length("name"), F.length("match")) >= F.greatest(F.length("name"), F.length("match")))
-    scored = pairs.withColumn("similarity", F.round(similarity(F.col("name"), F.col("match")), 9)).where(F.col("similarity") >= least)
+    shortest = max(0.0, 3 * max(0.0, (least - 0.4) / 0.6) - 2)  # shorter to longer: below it no pair reaches least
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(name).alias("_n"), "entity_type").distinct().withColumn("_c", _letters(F.col("_n")))
+        n = F.size("_c")
+        # the fewest characters that it must share with any other name
+        fewest = F.greatest(least_shared(n, F.greatest(F.ceil(n * shortest), F.lit(1)), least), F.lit(1))
+        return rows.withColumn("_k", F.explode(F.slice("_c", F.lit(1), F.greatest(n - fewest + 1, F.lit(0)).cast("int"))))
+
+    a, b = keyed(left, "name"), keyed(right, "name")
+    a = a.select("entity_type", "_k", F.col("_n").alias("name"), F.col("_c").alias("_a"))
+    b = b.select("entity_type", "_k", F.col("_n").alias("match"), F.col("_c").alias("_b"))
+    x, y = F.size("_a"), F.size("_b")
+    met = a.join(b, ["entity_type", "_k"]).where(F.least(x, y) >= shortest * F.greatest(x, y))
+    shared = F.array_intersect("_a", "_b")
+    # a pair that meets on several characters is taken on the first that it shares
+    met = met.where((F.get(shared, F.lit(0)) == F.col("_k")) & (F.size(shared) >= least_shared(x, y, least)))
+    scored = met.select("name", "entity_type", "match", F.round(similarity(F.col("name"), F.col("match")), 9).alias("similarity"))
+    return scored.where(F.col("similarity") >= least)
+
+
+def fuzzy(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
+    """(name, entity_type, match, similarity) of the best known name of the same type, if it reaches ``least``; ties by name."""
     best = Window.partitionBy("name", "entity_type").orderBy(F.desc("similarity"), "match")
+    scored = similar_pairs(new.select("name", "entity_type"), known.select("name", "entity_type"), least)
     return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "entity_type", "match", "similarity")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.stored import write_out
 
 K1, B = 1.2, 0.75
 
@@ -98,11 +103,11 @@ def _frequency(words: Column, leaf: Node) -> Column:
     return F.size(F.filter(words, lambda w: w == leaf.words[0]))
 
 
-def _matches(tree: Node, frequency: dict[Node, Column]) -> Column:
+def matches(tree: Node, frequency: dict[Node, Column]) -> Column:
     if tree.kind == "not":
-        return _matches(tree.parts[0], frequency) & ~_matches(tree.parts[1], frequency)
+        return matches(tree.parts[0], frequency) & ~matches(tree.parts[1], frequency)
     if tree.parts:
-        found = [_matches(p, frequency) for p in tree.parts]
+        found = [matches(p, frequency) for p in tree.parts]
         out = found[0]
         for x in found[1:]:
             out = out & x if tree.kind == "and" else out | x
@@ -118,7 +123,7 @@ def bm25(df: DataFrame, key: str, columns: list[str], query: str, limit: int | N
     """
     tree = parse(query)
     every = [*dict.fromkeys(tree.leaves())]
-    negative = [x for x in _all(tree) if x not in every]
+    negative = [x for x in all_leaves(tree) if x not in every]
     words = tokens(F.concat_ws(" ", *columns))
     named = [*every, *negative]
     # one lambda binds the tokens, so that they are made once a row
@@ -131,15 +136,19 @@ def bm25(df: DataFrame, key: str, columns: list[str], query: str, limit: int | N
         df_i = stats[f"d{i}"] or 0
         ratio = (n - df_i + 0.5) / (df_i + 0.5)
         idf = max(math.log(ratio), 1e-6) if ratio > 0 else 1e-6
-        tf = F.col(f"_f{i}")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / average))
-    hit = counted.where(_matches(tree, {x: F.col(f"_f{i}") for i, x in enumerate(named)}))
+        score = score + term_score(F.lit(idf), F.col(f"_f{i}"), F.col("_dl"), average)
+    hit = counted.where(matches(tree, {x: F.col(f"_f{i}") for i, x in enumerate(named)}))
     out = hit.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key)
     return out.limit(limit) if limit else out
 
 
-def _all(tree: Node) -> list[Node]:
-    return [x for p in tree.parts for x in _all(p)] if tree.parts else [tree]
+def all_leaves(tree: Node) -> list[Node]:
+    """Leaves behind NOT too."""
+    return [x for p in tree.parts for x in all_leaves(p)] if tree.parts else [tree]
+
+
+def term_score(idf: Column, tf: Column, dl: Column, average: float) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -157,19 +166,60 @@ def similar(df: DataFrame, key: str, vector: str, query: list[float], k: int = 5
     return df.where(F.col(vector).isNotNull()).select(key, F.round(cosine(F.col(vector), asked), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_batch(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 256) -> DataFrame:
-    """``query``, ``key`` and ``score`` of each query's ``k`` nearest rows. Queries (stated, few) are taken in blocks."""
-    asked = queries.agg(F.collect_list(F.struct(F.col(key).alias("q"), F.col(vector).alias("v"))).alias("qs")).first()["qs"]
-    outs = []
-    for at in range(0, len(asked), block):
-        small = F.broadcast(df.sparkSession.createDataFrame([(x["q"], list(x["v"])) for x in asked[at : at + block]], f"query {queries.schema[key].dataType.simpleString()}, qv array<float>"))
-        scored = df.join(small, F.size(F.col(vector)) == F.size("qv")).where(F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col(vector), F.col("qv")), 6).alias("score"))
-        best = Window.partitionBy("query").orderBy(F.desc("score"), key)
-        outs.append(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    out = outs[0]
-    for frame in outs[1:]:
-        out = out.unionByName(frame)
-    return out
+def similar_batch(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """``query``, ``key``, ``score`` and ``rank`` of each query's ``k`` nearest other rows.
+
+    The stated queries pass through the driver in blocks, one block at a time. Each task scores its rows against the
+    block as one matrix product and sends on its own best ``k`` a query; what is shuffled does not grow with the rows
+    of a task. Vectors of another length, without length or null score 0 or nothing, as cosine has it.
+    """
+    spark, kind = df.sparkSession, queries.schema[key].dataType.simpleString()
+    outs, asked = [], queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator()
+    while some := list(itertools.islice(asked, block)):
+        held = spark.sparkContext.broadcast([(r[0], [float(x) for x in r[1]]) for r in some])
+        near = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), vector).mapInArrow(_nearest(held, k), "query string, id string, score double")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        ranks = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        outs.append(write_out(ranks.select(F.col("query").cast(kind).alias("query"), F.col("id").cast(kind).alias(key), "score", "rank")))
+        held.unpersist()
+    if not outs:
+        return queries.limit(0).select(F.col(key).alias("query"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return functools.reduce(DataFrame.unionByName, outs)
+
+
+def _nearest(held, k: int):
+    def run(batches):
+        names = [str(n) for n, _ in held.value]
+        sizes = np.array([len(v) for _, v in held.value])
+        groups = {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            rows = np.array([held.value[i][1] for i in at]).reshape(len(at), size)
+            groups[size] = at, rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300) if size else rows
+        best: list[list[tuple[float, str]]] = [[] for _ in names]
+        for batch in batches:
+            ids, column = batch.column(0).to_pylist(), batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy())
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ends = np.cumsum(lengths)
+            for size, (at, asked) in groups.items():
+                own = np.flatnonzero(lengths == size)
+                if not len(own):
+                    continue
+                rows = np.stack([values[ends[i] - size : ends[i]] for i in own]) if size else np.zeros((len(own), 0))
+                norm = np.linalg.norm(rows, axis=1, keepdims=True)
+                score = np.round((rows / np.where(norm > 0, norm, 1.0)) @ asked.T, 6) + 0.0
+                for column_of, q in enumerate(at.tolist()):
+                    scores = score[:, column_of]
+                    # all that may be among the best: ties at the edge are settled by id
+                    edge = np.partition(scores, -min(k + 1, len(scores)))[-min(k + 1, len(scores))]
+                    found = [(-scores[i], ids[own[i]]) for i in np.flatnonzero(scores >= edge).tolist() if ids[own[i]] != names[q]]
+                    best[q] = sorted(best[q] + found)[:k]
+        rows = [(names[q], i, -s) for q, those in enumerate(best) for s, i in those]
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["query", "id", "score"])
+
+    return run
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:

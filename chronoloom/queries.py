@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import model
 from .functions import dates, text
 from .operators import envelope, evaluate, extract, graph, questions, relations, resolve, search
+from .operators.index import SearchIndex
+from .plans.stored import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,37 +47,53 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return model.episodes(spark, d)
 
 
+#: Columns of each searched table and the partitions of its index.
+_INDEXED = {"content": (model.episodes, ["content"]), "episodes": (model.episodes, ["content", "source", "metadata"]), "entities": (model.entities, ["name", "entity_type"]), "edges": (model.stored_edges, ["fact", "relation"])}
+
+
+def _index(spark: SparkSession, d: str, table: str) -> SearchIndex:
+    """The index of a table, built once an application over all rows and stored, as a graph's store holds its own."""
+    rows, columns = _INDEXED[table]
+
+    def make(folder: str) -> SearchIndex:
+        found = rows(spark, d)
+        found = found.withColumn("fact", F.concat_ws(" ", "source_id", "relation", "target_id")) if table == "edges" else found
+        return SearchIndex.build(found, "id", columns, folder, 16)
+
+    return kept(spark, ("index", table, d), make)
+
+
 _TWO = {"a": _term("with"), "b": _term("para")}
 
 
 @query(_bm25_sql({"a": _term("with"), "b": _term("that")}, "a > 0 AND b > 0", ["a", "b"], "episodes", _E, "content"))
 def fts_and(spark, d):
-    return search.bm25(_documents(spark, d), "id", ["content"], "with that")
+    return _index(spark, d, "content").bm25("with that")
 
 
 @query(_bm25_sql(_TWO, "a > 0 OR b > 0", ["a", "b"], "episodes", _E, "content"))
 def fts_or(spark, d):
-    return search.bm25(_documents(spark, d), "id", ["content"], "with OR para")
+    return _index(spark, d, "content").bm25("with OR para")
 
 
 @query(_bm25_sql({"a": _term("that"), "b": _term("with")}, "a > 0 AND NOT b > 0", ["a"], "episodes", _E, "content"))
 def fts_not(spark, d):
-    return search.bm25(_documents(spark, d), "id", ["content"], "that NOT with")
+    return _index(spark, d, "content").bm25("that NOT with")
 
 
 @query(_bm25_sql({"a": "len(list_filter(w, lambda x: starts_with(x, 'heing')))"}, "a > 0", ["a"], "episodes", _E, "content"))
 def fts_prefix(spark, d):
-    return search.bm25(_documents(spark, d), "id", ["content"], "heing*")
+    return _index(spark, d, "content").bm25("heing*")
 
 
 @query(_bm25_sql({"a": "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"}, "a > 0", ["a"], "episodes", _E, "content"))
 def fts_phrase(spark, d):
-    return search.bm25(_documents(spark, d), "id", ["content"], '"of the"')
+    return _index(spark, d, "content").bm25('"of the"')
 
 
 @query(_bm25_sql({"a": _term("part"), "b": _term("customer")}, "a > 0 OR b > 0", ["a", "b"], "entities", _N, "name || ' ' || entity_type"))
 def fts_entities(spark, d):
-    return search.bm25(model.entities(spark, d), "id", ["name", "entity_type"], "part OR customer")
+    return _index(spark, d, "entities").bm25("part OR customer")
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
@@ -106,29 +124,29 @@ _FTS_TEXT = _bm25_sql(_TWO, "a > 0 OR b > 0", ["a", "b"], "episodes", _E, "conte
 def rrf_fused(spark, d):
     v = _vectors(spark, d)
     asked = list(v.where("id = '0'").first()["embedding"])
-    lists = [search.bm25(_documents(spark, d), "id", ["content"], "with OR para", 200), search.similar(v, "id", "embedding", asked, 200)]
+    lists = [_index(spark, d, "content").bm25("with OR para", 200), search.similar(v, "id", "embedding", asked, 200)]
     return search.fuse([search.ranked(x, "id") for x in lists], "id")
 
 
 @query(f"WITH {_D} SELECT relation, count(*) AS n FROM edges WHERE valid_until IS NULL GROUP BY relation")
 def edges_current(spark, d):
-    return graph.current(model.edges(spark, d)).groupBy("relation").agg(F.count("*").alias("n"))
+    return graph.current(model.stored_edges(spark, d)).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_D} SELECT relation, count(*) AS n, min(id) AS first_id FROM edges WHERE coalesce(valid_from <= TIMESTAMP '1998-01-01', true) AND coalesce(valid_until > TIMESTAMP '1998-01-01', true) GROUP BY relation")
 def edges_as_of(spark, d):
-    return graph.as_of(model.edges(spark, d), "1998-01-01").groupBy("relation").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return graph.as_of(model.stored_edges(spark, d), "1998-01-01").groupBy("relation").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query(f"WITH {_D}, o AS (SELECT 'c:' || o_custkey AS customer, o_orderkey, o_orderdate AS t FROM orders) SELECT o_orderkey, count(*) AS n_valid FROM o JOIN edges ON source_id = customer AND relation = 'ordered' WHERE coalesce(valid_from <= t, true) AND coalesce(valid_until > t, true) GROUP BY o_orderkey")
 def edge_asof_join(spark, d):
     o = model.read(spark, d, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("customer"), "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"))
-    return graph.as_of_join(o, model.edges(spark, d).where("relation = 'ordered'"), "customer", "t").groupBy("o_orderkey").agg(F.count("*").alias("n_valid"))
+    return graph.as_of_join(o, model.stored_edges(spark, d).where("relation = 'ordered'"), "customer", "t").groupBy("o_orderkey").agg(F.count("*").alias("n_valid"))
 
 
 @query(f"WITH {_D} SELECT relation, count(*) AS n, count(valid_until) AS ended FROM (SELECT id, relation, CASE WHEN valid_until IS NULL AND relation = 'supplies' AND source_id = 's:1' THEN TIMESTAMP '2002-01-01' ELSE valid_until END AS valid_until FROM edges) GROUP BY relation")
 def invalidate(spark, d):
-    e = model.edges(spark, d)
+    e = model.stored_edges(spark, d)
     return graph.invalidate(e, e.where("relation = 'supplies' and source_id = 's:1'"), "2002-01-01").groupBy("relation").agg(F.count("*").alias("n"), F.count("valid_until").alias("ended"))
 
 
@@ -142,33 +160,33 @@ def _seed(spark):
 
 @query(f"WITH {_NEAR}, {_L} SELECT id, 0 AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2")
 def walk_2_levels(spark, d):
-    return graph.walk_levels(model.edges(spark, d), _seed(spark), 2)
+    return graph.walk_levels(model.stored_edges(spark, d), _seed(spark), 2)
 
 
 @query(f"WITH {_NEAR}, {_L}, l3 AS (SELECT DISTINCT b AS id FROM l2 JOIN near ON a = id), u AS (SELECT id, 0 AS depth FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2 UNION ALL SELECT id, 3 FROM l3) SELECT id, min(depth) AS depth FROM u GROUP BY id")
 def reach_3(spark, d):
-    return graph.reach(model.edges(spark, d), _seed(spark), 3)
+    return graph.reach(model.stored_edges(spark, d), _seed(spark), 3)
 
 
 @query(f"WITH {_NEAR}, {_L}, u AS (SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2) SELECT relation, count(*) AS n, min(id) AS first_id FROM edges WHERE valid_until IS NULL AND source_id IN (SELECT id FROM u) AND target_id IN (SELECT id FROM u) GROUP BY relation")
 def induced_2(spark, d):
-    e = graph.current(model.edges(spark, d))
+    e = graph.current(model.stored_edges(spark, d))
     return graph.induced(e, graph.reach(e, _seed(spark), 2)).groupBy("relation").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query(f"WITH {_D}, {_N}, m AS (SELECT id, relation, CASE WHEN source_id = 's:1' THEN target_id ELSE source_id END AS neighbor_id FROM edges WHERE valid_until IS NULL AND (source_id = 's:1' OR target_id = 's:1')) SELECT m.id, relation, neighbor_id, name AS neighbor FROM m JOIN entities ON entities.id = neighbor_id")
 def entity_context(spark, d):
-    return graph.context(model.edges(spark, d), model.entities(spark, d), "s:1").select("id", "relation", "neighbor_id", "neighbor")
+    return graph.context(model.stored_edges(spark, d), model.entities(spark, d), "s:1").select("id", "relation", "neighbor_id", "neighbor")
 
 
 @query(f"WITH {_NEAR}, l0 AS (SELECT unnest(['s:1', 'c:1', 'n:3']) AS id), u AS (SELECT id, 0 AS depth FROM l0 UNION ALL SELECT b, 1 FROM l0 JOIN near ON a = id) SELECT id, min(depth) AS depth FROM u GROUP BY id")
 def traverse_batch(spark, d):
-    return graph.reach(model.edges(spark, d), spark.createDataFrame([("s:1",), ("c:1",), ("n:3",)], "id string"), 1)
+    return graph.reach(model.stored_edges(spark, d), spark.createDataFrame([("s:1",), ("c:1",), ("n:3",)], "id string"), 1)
 
 
 @query(f"WITH {_D}, {_N}, s AS (SELECT id AS n FROM entities ORDER BY id LIMIT 50) SELECT id, source_id, relation, target_id FROM edges WHERE source_id IN (SELECT n FROM s) OR target_id IN (SELECT n FROM s)")
 def export_edges(spark, d):
-    return graph.export(model.edges(spark, d), model.entities(spark, d), 50).select("id", "source_id", "relation", "target_id")
+    return graph.export(model.stored_edges(spark, d), model.entities(spark, d), 50).select("id", "source_id", "relation", "target_id")
 
 
 @query(f"WITH {_E} SELECT source, count(*) AS n FROM episodes GROUP BY source")
@@ -188,9 +206,8 @@ def list_entities_type(spark, d):
 
 @query("WITH p AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name AS name, b.p_name AS match, round(jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)), 9) AS similarity FROM p a JOIN p b ON a.p_name < b.p_name) SELECT name, match, similarity FROM j WHERE similarity >= 0.85")
 def jw_pairs(spark, d):
-    p = model.read(spark, d, "part").select("p_name").distinct()
-    pairs = p.select(F.col("p_name").alias("name")).join(p.select(F.col("p_name").alias("match")), F.col("name") < F.col("match"))
-    return pairs.withColumn("similarity", F.round(resolve.similarity(F.col("name"), F.col("match")), 9)).where("similarity >= 0.85")
+    p = model.read(spark, d, "part").select(F.col("p_name").alias("name"), F.lit("Part").alias("entity_type"))
+    return resolve.similar_pairs(p, p).where("name < match").select("name", "match", "similarity")
 
 
 @query("WITH k AS (SELECT DISTINCT p_name AS match FROM part), n AS (SELECT DISTINCT p_name || 's' AS name FROM part), j AS (SELECT name, match, round(jaro_winkler_similarity(lower(name), lower(match)), 9) AS similarity FROM n, k), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, match) AS r FROM j WHERE similarity >= 0.85) SELECT name, 'Part' AS entity_type, match, similarity FROM r WHERE r = 1")
@@ -217,23 +234,23 @@ _ORDERS = "o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, day AS start FROM o UNION ALL SELECT o_orderkey, day FROM o")
 def dates_absolute(spark, d):
-    rows = dates.references(_dated(spark, d), "text", "moment").where("kind = 'date'")
+    rows = dates.references(_dated(spark, d), "text", "moment", ("date",))
     return rows.select("o_orderkey", "start")
 
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, CAST(DATE '2024-03-01' - CAST(o_orderkey % 30 AS INTEGER) AS DATE) AS start, CAST(-(o_orderkey % 30) AS INTEGER) AS days FROM o")
 def dates_relative(spark, d):
-    return dates.references(_dated(spark, d), "text", "moment").where("kind = 'relative'").select("o_orderkey", "start", "days")
+    return dates.references(_dated(spark, d), "text", "moment", ("relative",)).select("o_orderkey", "start", "days")
 
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, CAST(date_trunc('quarter', day) AS DATE) AS start, CAST(date_trunc('quarter', day) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS \"end\" FROM o")
 def dates_fiscal(spark, d):
-    return dates.references(_dated(spark, d), "text", "moment").where("kind = 'range'").select("o_orderkey", "start", "end")
+    return dates.references(_dated(spark, d), "text", "moment", ("range",)).select("o_orderkey", "start", "end")
 
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, CAST((o_orderkey % 9 + 1) * 7 AS INTEGER) AS days FROM o")
 def dates_duration(spark, d):
-    return dates.references(_dated(spark, d), "text", "moment").where("kind = 'duration'").select("o_orderkey", "days")
+    return dates.references(_dated(spark, d), "text", "moment", ("duration",)).select("o_orderkey", "days")
 
 
 @query("SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: list_contains(['he','she','him','her','his','hers','it','its','this','that','these','those','they','them','their','theirs','we','us','our'], x))) AS INTEGER) AS n FROM documents")
@@ -284,7 +301,7 @@ def f1_greedy(spark, d):
 @query(f"WITH {_D}, r AS (SELECT relation, source_id, id, row_number() OVER (PARTITION BY relation, source_id ORDER BY valid_from, id) AS r FROM edges) SELECT relation, source_id, id FROM r WHERE r = 1")
 def first_edge_of_entity(spark, d):
     first = Window.partitionBy("relation", "source_id").orderBy(F.asc_nulls_last("valid_from"), "id")
-    return model.edges(spark, d).withColumn("r", F.row_number().over(first)).where("r = 1").select("relation", "source_id", "id")
+    return model.stored_edges(spark, d).withColumn("r", F.row_number().over(first)).where("r = 1").select("relation", "source_id", "id")
 
 
 _STOP = ", ".join(f"'{w}'" for w in questions.STOP_WORDS)
@@ -313,7 +330,7 @@ def ngram_link(spark, d):
 def question_answers(spark, d):
     n = model.entities(spark, d)
     linked = questions.link(_asked(spark, d), n).withColumn("relation", F.lit("located_at"))
-    return questions.answers(linked, model.edges(spark, d), n).select("qid", "neighbor_id", "neighbor")
+    return questions.answers(linked, model.stored_edges(spark, d), n).select("qid", "neighbor_id", "neighbor")
 
 
 _MARKERS = " OR ".join(f"contains(lower(text), '{m}')" for m in questions.COMPLEX_MARKERS)

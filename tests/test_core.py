@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from chronoloom import queries
-from chronoloom.functions import dates, text
+from chronoloom.functions import dates, names, text
 from chronoloom.operators import evaluate, graph, resolve, search
 from chronoloom.sources.store import AlreadyExists, GraphStore, NotFound
 from chronoloom.streaming.ingest import ingest_stream
@@ -75,7 +75,7 @@ def test_text_functions(spark):
     row = spark.range(1).select(
         text.sanitize(F.lit("auth-service: why?")).alias("s"), text.strip_interrogatives(F.lit("Who is the owner")).alias("q"), text.ngrams(F.array(F.lit("a"), F.lit("b")), 3).alias("n"),
         text.json_object(F.lit('<think>{}</think> ```json {"a": 1} ```')).alias("j"), text.garbage_id(F.lit("e12")).alias("g"), text.strip_article(F.lit("The API")).alias("a"),
-        text.package_name(F.lit("@scope/pg@1.2"), {"pg": "PostgreSQL"}).alias("p"), text.strip_suffix(F.lit("Redis database"), ("database",)).alias("x"), evaluate.marked(F.lit("A uses B"), F.lit("A"), F.lit("B")).alias("m"),
+        names.product_name(F.lit("@scope/pg@1.2"), {"pg": "PostgreSQL"}).alias("p"), names.without_suffix(F.lit("Redis service")).alias("x"), evaluate.marked(F.lit("A uses B"), F.lit("A"), F.lit("B")).alias("m"),
     ).first()
     assert row["s"] == "auth service why" and row["q"] == "owner" and row["n"] == ["a", "b", "a b"]
     assert json.loads(row["j"]) == {"a": 1} and row["g"] and row["a"] == "API" and row["p"] == "PostgreSQL" and row["x"] == "Redis"

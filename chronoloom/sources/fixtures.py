@@ -61,7 +61,7 @@ def log_episodes(log: DataFrame, text: str = "value") -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Whole run logs, one row a file."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def write_json(df: DataFrame, path: str, files: int = 1) -> None:

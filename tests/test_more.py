@@ -58,7 +58,7 @@ def test_dates_of_any_length(spark):
     rows = spark.createDataFrame([("123456 days ago for 1234567 weeks, 99999999999 days ago",)], "t string").withColumn("m", F.lit("2026-03-15").cast("timestamp"))
     got = dates.references(rows, "t", "m").collect()
     assert [(r["kind"], r["days"]) for r in got] == [("relative", -123456), ("relative", -300_000_000), ("duration", 1234567 * 7)]
-    assert str(got[0]["start"]) == "1688-03-08" and got[1]["start"] is None
+    assert str(got[0]["start"]) == "1688-03-10" and got[1]["start"] is None
 
 
 def test_dictionary_of_any_size(spark):
@@ -218,12 +218,9 @@ def test_nearest_of_odd_vectors(spark):
     assert search.similar_batch(rows, rows.limit(0), "id", "v").count() == 0
 
 
-NOW = F.lit("2024-01-01").cast("timestamp")
-
-
 def test_ingest_resolves_links_and_ends(spark, tmp_path):
     store = GraphStore.init(spark, str(tmp_path / "g"))
-    first = spark.createDataFrame([("1", "Ana chose PostgreSQL. Postgres is fine.", "s")], "id string, content string, source string").withColumn("recorded_at", NOW)
+    first = spark.createDataFrame([("1", "Ana chose PostgreSQL. Postgres is fine.", "s")], "id string, content string, source string").withColumn("recorded_at", F.lit("2024-01-01").cast("timestamp"))
     said = spark.createDataFrame([("1", "Ana", "Person", 0, 3, 0), ("1", "PostgreSQL", "Database", 10, 20, 1), ("1", "Postgres", "Database", 22, 30, 2)], ingest.MENTIONS)
     told = spark.createDataFrame([("1", "Ana", "chose", "Postgres", 0.9, None), ("1", "Ana", "chose", "Nobody", 0.9, None)], ingest.RELATIONS)
     assert ingest.ingest(store, first, lambda _: (said, told)) == ingest.Counts(1, 2, 1, 1)
@@ -231,7 +228,7 @@ def test_ingest_resolves_links_and_ends(spark, tmp_path):
     assert [(r["alias_name"], round(r["similarity"], 2)) for r in store.table("aliases").collect()] == [("Postgres", 0.96)]
     again = ingest.ingest(store, first, lambda _: (said, told))
     assert again == ingest.Counts(0, 0, 0, 0)
-    second = spark.createDataFrame([("2", "Ana left POSTGRES", None)], "id string, content string, source string").withColumn("recorded_at", NOW)
+    second = spark.createDataFrame([("2", "Ana left POSTGRES", None)], "id string, content string, source string").withColumn("recorded_at", F.lit("2024-01-01").cast("timestamp"))
     more = spark.createDataFrame([("2", "Ana", "Person", 0, 3, 0), ("2", "POSTGRES", "Service", 9, 17, 1)], ingest.MENTIONS)
     hints = spark.createDataFrame([("2", "Ana chose PostgreSQL")], "episode string, hint string")
     counts = ingest.ingest(store, second, lambda _: (more, told.limit(0)), hints=hints)
@@ -309,7 +306,7 @@ def test_graph_object_tools_and_commands(spark, tmp_path):
     assert len(ask("tools/list")["result"]["tools"]) == 8 and ask("initialize")["result"]["protocolVersion"]
     assert call("list_entities", limit=2, offset=1)["count"] == 2 and call("export_graph", include_episodes=True)["episode_count"] == 2
     assert call("get_decision", id=key)["episode"]["source"] == "chat" and call("traverse_batch", entity_names=["Bob", "Nobody"])["entities"] and call("traverse_batch", entity_names=[])["edges"] == []
-    assert "error" in call("traverse", entity_name="Nobody") and "error" in call("nothing") and "error" in call("search") and "error" in call("search", query="a?b") or True
+    assert "error" in call("traverse", entity_name="Nobody") and "error" in call("nothing") and "error" in call("search")
     assert ask("tools/call")["error"]["code"] == -32602 and ask("other")["error"]["code"] == -32601
     assert json.loads(answer(t, "{"))["error"]["code"] == -32700 and answer(t, '{"method": "notifications/initialized"}') is None
     for line, want in ((["log", "Eve uses Vim", "-t", "a, b"], "2 entities"), (["query", "who uses Vim?"], "Eve uses Vim"), (["entities", "list"], "Vim"), (["decisions", "list", "-l", "1"], "Eve"), (["stats"], "3 episodes"), (["decisions", "show", key], "chat")):

@@ -33,6 +33,8 @@ KEYWORDS = {
         "least privilege", "cannot handle", "exactly-once", " sla ", "memory safety",
     ),
 }
+#: Words of a dependency that are weak by themselves.
+WEAK = ("using ", " uses ", " use ")
 #: Types that may stand at the head and at the tail of a relation.
 SCHEMA = {
     "chose": (("Person", "Service", "Component"), ("Component", "Database", "Language", "Infrastructure", "Pattern")),
@@ -98,8 +100,15 @@ def relations(texts: DataFrame, mentions: DataFrame, key: str = "id", least: flo
     sentences, placed = _placed(texts, mentions, key)
     hits = F.array(*[F.struct(F.lit(r).alias("relation"), _keyword_position(F.col("sentence"), w).alias("at")) for r, w in KEYWORDS.items()])
     spoken = sentences.select(key, "number", "from", F.lower("sentence").alias("_low"), F.explode(F.filter(hits, lambda h: h["at"].isNotNull())).alias("h"))
-    spoken = spoken.where(~((F.col("h.relation") == "caused") & F.contains(F.concat(F.lit(" "), "_low"), F.lit(" fix:"))))
-    spoken = spoken.where(~((F.col("h.relation") == "constrained_by") & F.col("_low").rlike("fixed|fixing|resolv|patched")))
+    # a sentence that tells of a repair names a cause or a limit that is none
+    spoken = spoken.where(~((F.col("h.relation") == "caused") & F.startswith("_low", F.lit("fix:"))))
+    spoken = spoken.where(~((F.col("h.relation") == "constrained_by") & F.col("_low").rlike(r"fixed|fix:|fix\(|resolv|patched|debugged")))
+    # weak words say nothing beside an implementation or in a sentence with one entity; a metric alone limits nothing
+    strong = tuple(w for w in KEYWORDS["depends_on"] if w not in WEAK)
+    said = placed.groupBy(key, "number").agg(F.count("*").alias("_n"), F.max("entity_type").alias("_t"))
+    spoken = spoken.join(said, [key, "number"])
+    weak = (F.col("h.relation") == "depends_on") & _keyword_position(F.col("_low"), strong).isNull() & (F.contains("_low", F.lit("implement")) | (F.col("_n") <= 1))
+    spoken = spoken.where(~weak & ~((F.col("h.relation") == "constrained_by") & (F.col("_n") == 1) & (F.col("_t") == "Metric"))).drop("_n", "_t")
     named = placed.where(~is_reference(F.col("name")))
     heads = named.select(key, "number", F.col("name").alias("head"), F.col("entity_type").alias("head_type"), F.col("start").alias("head_at"), F.count("*").over(Window.partitionBy(key, "number")).alias("n_entities"))
     tails = named.select(key, F.explode(F.array(F.col("number") - 1, F.col("number"), F.col("number") + 1)).alias("number"), F.col("number").alias("own"), F.col("name").alias("tail"), F.col("entity_type").alias("tail_type"), F.col("start").alias("tail_at"))

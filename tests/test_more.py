@@ -115,10 +115,12 @@ def test_phrase_patterns(spark):
 
 
 def test_relations_follow_cues(spark):
-    said = "Solr was replaced by Vitess."
     found = relations.relations(*_case(spark, "We replaced Solr with Vitess.", ("Solr", "Database"), ("Vitess", "Database")), least=0.1)
     assert _triples(found.where("relation = 'replaced'")) == [("Vitess", "replaced", "Solr")]
-    assert said
+    kinds = lambda said, *m: {r["relation"] for r in relations.relations(*_case(spark, said, *m), least=0.0).collect()}
+    pay, redis, slow = ("Pay", "Service"), ("Redis", "Database"), ("p95", "Metric")
+    assert "depends_on" in kinds("Pay uses Redis.", pay, redis) and "depends_on" not in kinds("We implement Pay using Redis.", pay, redis)
+    assert "constrained_by" not in kinds("p95 is capped at 2. Pay ran.", slow, pay) and "caused" not in kinds("fix: Pay caused p95.", pay, slow) and "caused" in kinds("Pay caused p95.", pay, slow)
 
 
 def test_decoders(spark):

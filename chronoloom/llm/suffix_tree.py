@@ -35,7 +35,7 @@ from .wordhash import hashed_words
 
 LEAST = 5
 #: Words of the longest context.
-DEPTH = 5
+DEPTH = 4
 DIVERGENCE = 0.02
 PRIOR = 20.0
 #: Strings of this share of all tokens are looked up in the tasks that read the texts, not in the join.
@@ -43,7 +43,7 @@ HOT_SHARE = 2e-6
 #: Bits of a sieve. More strings than this only let more rows through.
 SIEVE_BITS = 1 << 26
 #: Strings that a task counts before it deals them out.
-FLUSH_GRAMS = 400_000
+FLUSH_GRAMS = 800_000
 #: Strings, about, that one task of a shuffle gets.
 PER_TASK = 1_500_000
 
@@ -107,18 +107,18 @@ def _read(batch):
 
 
 _DEALT = "p int, kind int, data binary"
-#: Kinds of dealt rows, in the order in which a task wants them.
-_TABLE, _FAR, _OWN, _SUMS = 0, 1, 2, 3
+#: Kinds of dealt rows, in the order in which a task wants them. What was counted once is dealt without its count.
+_TABLE, _FAR, _FAR_ONCE, _OWN, _SUMS, _ONCE = 0, 1, 2, 3, 4, 5
 
 
-def _deal(columns: list[np.ndarray], parts: int, kind: int) -> pa.RecordBatch:
-    """Arrays of 8-byte values, dealt by the upper bits of the first, the key: one row for each part that gets any."""
+def _deal(columns: list[np.ndarray], parts: int, kind: int, key: np.ndarray | None = None) -> pa.RecordBatch:
+    """Arrays of 8-byte values, dealt by the upper bits of the key (the first of them): one row for each part that gets any."""
     pa.default_memory_pool().release_unused()
     rows = np.stack([c.view(np.int64) for c in columns])
-    key = rows[0].view(np.uint64)
+    key = (rows[0] if key is None else key).view(np.uint64)
     if len(key) > 1 and not (key[1:] >= key[:-1]).all():
-        rows = rows[:, np.argsort(key)]
-        key = rows[0].view(np.uint64)
+        order = np.argsort(key)
+        rows, key = rows[:, order], key[order]
     part = ((key >> np.uint64(34)) * np.uint64(parts) >> np.uint64(30)).astype(np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
     data = [np.ascontiguousarray(rows[:, lo:hi]).tobytes() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -126,6 +126,14 @@ def _deal(columns: list[np.ndarray], parts: int, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([held, pa.array([kind] * len(data), pa.int32()), pa.array(data, pa.binary())], ["p", "kind", "data"])
 
 
+def _deal_counts(columns: list[np.ndarray], n: np.ndarray, parts: int, kinds: tuple[int, int], key: np.ndarray | None = None):
+    """Columns with their counts, in two batches: those counted more than once, and without the counts those that were not."""
+    for kind, mine in zip(kinds, (n > 1, n == 1), strict=True):
+        if mine.any():
+            held = [c[mine] for c in columns]
+            yield _deal(held + ([n[mine]] if kind == kinds[0] else []), parts, kind, None if key is None else key[mine])
+
+
 def _dealt(batch, width: dict[int, int]):
     """(kind, arrays) of each row; ``width``: columns of each kind."""
     for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
@@ -137,16 +145,22 @@ def _parts(spark, strings: int) -> int:
 
 
 def _summed(names: tuple[str, ...], least: int):
-    """Sum of the last column by the first (the key) over all that a task gets, from ``least``; other columns ride along."""
+    """Counts by key over all that a task gets, from ``least``: of words (h, c), or of strings (key, x, y, n), whose key is a hash."""
+    width = 1 if len(names) == 2 else 2
 
     def run(batches):
-        width = {_TABLE: len(names)}
-        rows = [data for batch in batches for _, data in _dealt(batch, width)]
-        if not rows:
+        kept = []
+        for batch in batches:
+            for kind, data in _dealt(batch, {_TABLE: width + 1, _ONCE: width}):
+                kept.append(data if kind == _TABLE else np.concatenate([data, np.ones((1, data.shape[1]), np.int64)]))
+        if not kept:
             return
-        rows = np.concatenate(rows, 1)
+        rows = np.concatenate(kept, 1)
+        if width == 2:
+            rows = np.concatenate([joined_hash(rows[0], rows[1])[None], rows])
         order = np.argsort(rows[0])
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[0][order]) != 0]))
+        ordered = rows[0][order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         total = np.add.reduceat(rows[-1][order], first)
         stay = np.flatnonzero(total >= least)
         columns = [*(c[order[first[stay]]] for c in rows[:-1]), total[stay]]
@@ -193,19 +207,19 @@ def _count_words(parts: int):
                 kept.append(np.stack([h, n]))
                 held += len(h)
                 if held > FLUSH_GRAMS:
-                    yield _deal(_merged(kept), parts, _TABLE)
+                    yield from _deal_counts(*_merged(kept), parts, (_TABLE, _ONCE))
                     kept, held = [], 0
         if kept:
-            yield _deal(_merged(kept), parts, _TABLE)
+            yield from _deal_counts(*_merged(kept), parts, (_TABLE, _ONCE))
 
     return run
 
 
-def _merged(tallies: list[np.ndarray]) -> list[np.ndarray]:
+def _merged(tallies: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     both = np.concatenate(tallies, 1)
     both = both[:, np.argsort(both[0].view(np.uint64))]
     first = np.flatnonzero(np.concatenate([[True], both[0][1:] != both[0][:-1]]))
-    return [both[0][first], np.add.reduceat(both[1], first)]
+    return [both[0][first]], np.add.reduceat(both[1], first)
 
 
 def _count_grams(length: int, shipped, parts: int):
@@ -219,7 +233,7 @@ def _count_grams(length: int, shipped, parts: int):
         def flush():
             x, y = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
             key, first, n = _tally(joined_hash(x, y))
-            return _deal([key, x[first], y[first], n], parts, _TABLE)
+            return _deal_counts([x[first], y[first]], n, parts, (_TABLE, _ONCE), key)
 
         for batch in batches:
             for _, keys, places, _ in _read(batch):
@@ -231,10 +245,10 @@ def _count_grams(length: int, shipped, parts: int):
                 kept.append((keys[spots - 1], keys[spots]))
                 held += len(spots)
                 if held > FLUSH_GRAMS:
-                    yield flush()
+                    yield from flush()
                     kept, held = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -363,7 +377,7 @@ def _score_rows(shipped, longest: int, parts: int):
                     far_texts.append(text[far])
                 h, owner = np.concatenate(far_keys), np.concatenate(far_texts)
                 _, first, tf = _tally(joined_hash(owner.astype(np.int64), h))
-                yield _deal([h[first], rid[owner[first]], tf], parts, _FAR)
+                yield from _deal_counts([h[first], rid[owner[first]]], tf, parts, (_FAR, _FAR_ONCE))
                 lost = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _deal([_spread(rid), rid, ids.fill_null(0).to_numpy(), lost, lengths - 1, others, plain, model], parts, _OWN)
 
@@ -383,7 +397,7 @@ def _table_rows(parts: int):
     return run
 
 
-_WIDTH = {_TABLE: 3, _FAR: 3, _OWN: 8, _SUMS: 5}
+_WIDTH = {_TABLE: 3, _FAR: 3, _FAR_ONCE: 2, _OWN: 8, _SUMS: 5}
 
 
 def _weighed(parts: int):
@@ -412,7 +426,8 @@ def _weighed(parts: int):
                 if lookup is None:
                     entries = np.concatenate(table, 1) if table else np.empty((3, 0), np.int64)
                     lookup, c, w = _Lookup(entries[0]), np.append(entries[1], 0), np.append(entries[2].view(np.float64), 0.0)
-                h, rid, tf = data
+                h, rid, *tf = data
+                tf = tf[0] if tf else np.ones(len(h), np.int64)
                 at = lookup.find(h)  # what has no entry takes the last place: neither count nor weight
                 some = np.flatnonzero(at >= 0)
                 at, rid, tf = at[some], rid[some], tf[some]

@@ -21,6 +21,7 @@ distinct ones under three pairs are expected to share one.
 
 from __future__ import annotations
 
+import gc
 import math
 from functools import reduce
 
@@ -40,8 +41,8 @@ DIVERGENCE = 0.02
 PRIOR = 20.0
 #: Strings of this share of all tokens are looked up in the tasks that read the texts, not in the join.
 HOT_SHARE = 2e-6
-#: Bits of a sieve. More strings than this only let more rows through.
-SIEVE_BITS = 1 << 26
+#: Bits of a sieve, and where in a key the places of its bits begin. More strings only let more rows through in error.
+SIEVE_BITS, PROBES = 1 << 27, (0, 18, 36)
 #: Strings that a task counts before it deals them out.
 FLUSH_GRAMS = 800_000
 #: Strings, about, that one task of a shuffle gets.
@@ -176,9 +177,9 @@ def _longer(keys: np.ndarray) -> np.ndarray:
 
 
 def _sieve(table: DataFrame, key: str) -> np.ndarray:
-    """A bit array of fixed size in which every key of ``table`` has its bit."""
-    bit = F.col(key).bitwiseAND(SIEVE_BITS - 1)
-    found = table.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63L as int))").alias("bit"))
+    """A bit array of fixed size in which every key of ``table`` has its bits."""
+    places = table.select(F.explode(F.array(*[F.shiftrightunsigned(key, shift).bitwiseAND(SIEVE_BITS - 1) for shift in PROBES])).alias("b"))
+    found = places.select(F.shiftright("b", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(b & 63L as int))").alias("bit"))
     rows = found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(SIEVE_BITS // 64, np.int64)
     bits[rows["at"].to_numpy()] = rows["bits"].to_numpy()
@@ -186,8 +187,19 @@ def _sieve(table: DataFrame, key: str) -> np.ndarray:
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (SIEVE_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    out = np.zeros(len(keys), bool)
+    left = np.arange(len(keys))
+    for shift in PROBES:
+        at = (keys[left].view(np.uint64) >> np.uint64(shift)).astype(np.int64) & (SIEVE_BITS - 1)
+        left = left[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    out[left] = True
+    return out
+
+
+def _release(spark) -> None:
+    """Let go of the shuffle files of finished jobs: they stay on disk until the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,9 +321,11 @@ def weights(cut: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int, in
         if length <= depth:
             live = materialize(live)
             used.append(live)
+        _release(spark)
     table = materialize(reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w")))
     for frame in used:
         discard(frame)
+    _release(spark)
     return table, int(n), int(v), length
 
 
@@ -362,7 +376,8 @@ def _score_rows(shipped, longest: int, parts: int):
                         spots = np.arange(len(keys))
                     else:
                         keys = _longer(keys)
-                        spots = np.flatnonzero(places >= length - 1)
+                        # what follows the first word of a kept string or state is one too
+                        spots = spots[places[spots] >= length - 1] if length > 2 else np.flatnonzero(places > 0)
                         spots = spots[_passes(bits, keys[spots])]
                     found = table.find(keys[spots])
                     hit = found >= 0

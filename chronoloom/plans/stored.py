@@ -26,10 +26,10 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/chronoloom-{spark.sparkContext.applicationId}"
 
 
-def write_out(df: DataFrame) -> DataFrame:
-    """``df`` written and read again: a plan behind it starts from files that outlive any executor."""
+def write_out(df: DataFrame, options: dict | None = None) -> DataFrame:
+    """``df`` written, with a writer's ``options``, and read again: a plan behind it starts from files that outlive any executor."""
     path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stored import clean_up, discard, shared_folder
+from ..plans.stored import write_out as materialize
+
+__all__ = ["BLANKS", "BLANK_CLASS", "clean_up", "discard", "materialize", "quoted", "shared_folder", "table"]
+
 #: Characters that part words: space and the ASCII controls 9 to 13. ``bytes.split()`` parts on the same six.
 BLANKS = " \t\n\x0b\f\r"
 #: The same set as a Java regex class body.
@@ -20,41 +23,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quoted(name: str) -> Column:
     """The column of that name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where a session names none, only a local master may fall back to a folder of its own, as tests do.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is unset; a cluster must name a shared folder")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="chronoloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, options: dict | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder, with a writer's ``options``, and read it again.
-
-    This cuts lineage: the files outlive any executor, and later plans see their true size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chronoloom/{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a frame that ``materialize`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,14 +88,17 @@ def parsed_time(text: Column, fallback: Column | None = None) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.current_timestamp() if fallback is None else fallback)
 
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
 def words_with_offsets(text: Column) -> Column:
-    """Words between blanks of any kind as (word, start, end): parts of the text and their running lengths."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=\S)(?=\s)|(?<=\s)(?=\S)"), lambda x: x != "")
-    start = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.when(x.rlike(r"^\S"), F.concat(a["out"], F.array(F.struct(x.alias("word"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"))))).otherwise(a["out"]).alias("out")),
-    )
-    return start["out"]
+    """Words between blanks as (word, start, end), in one walk over the text: running sums of arrays would copy them at every word."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"word": m[0], "start": m.start(), "end": m.end()} for m in _WORD.finditer(t or "")] for t in texts.to_pylist()], _WORDS)
+
+    return F.arrow_udf(run, "array<struct<word:string,start:int,end:int>>")(text)
 
 
 def spans_of(text: Column, name: Column) -> Column:

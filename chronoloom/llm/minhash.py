@@ -11,7 +11,8 @@ joins most groups in a number of pairs linear in their size. Whatever buckets st
 is then compared whole, in blocks bounded by nodes and by shingles: sketches go first, and the full sets of nodes with
 a partner of another component whose sketch may reach the threshold follow. Such pairs are verified in the task, each
 in the first bucket that both share, and only links that join two components come out, so the rows stay linear. No
-bucket is capped and no link between components is given up.
+bucket is capped and no link between components is given up. Tables that grow with the input meet by sorted merge at
+every size, so a plan that works on a part of the data is the plan for all of it.
 """
 
 from __future__ import annotations
@@ -145,10 +146,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").union(links.select("b", "a")))
     roots = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        near = edges.join(roots, edges["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = materialize(roots.join(near, roots["node"] == near["a"], "left").select("node", F.least("root", "m").alias("root"), F.col("root").alias("was")))
+        near = edges.join(roots.hint("merge"), edges["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        step = materialize(roots.join(near.hint("merge"), roots["node"] == near["a"], "left").select("node", F.least("root", "m").alias("root"), F.col("root").alias("was")))
         up = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        jumped = materialize(step.join(up, step["root"] == up["n2"], "left").select("node", F.least("root", "r2").alias("root"), "was"))
+        jumped = materialize(step.join(up.hint("merge"), step["root"] == up["n2"], "left").select("node", F.least("root", "r2").alias("root"), "was"))
         changed = jumped.where("root <> was").limit(1).count()
         discard(step)
         discard(roots)
@@ -271,8 +272,8 @@ def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: in
     """The pairs (a, b) of nodes whose sets have 100 * intersection >= 80 * union, written out."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct())
     sets = _node_sets(wanted, documents, reps, width)
-    left = pairs.join(sets.select(F.col("node").alias("nb"), F.col("items").alias("ib")), F.col("b") == F.col("nb")).select("a", "b", "ib")
-    both = left.join(sets.select(F.col("node").alias("na"), F.col("items").alias("ia")), F.col("a") == F.col("na"))
+    left = pairs.join(sets.select(F.col("node").alias("nb"), F.col("items").alias("ib")).hint("merge"), F.col("b") == F.col("nb")).select("a", "b", "ib")
+    both = left.join(sets.select(F.col("node").alias("na"), F.col("items").alias("ia")).hint("merge"), F.col("a") == F.col("na"))
     shared = F.size(F.array_intersect("ia", "ib"))
     links = materialize(both.select("a", "b", shared.alias("s"), (F.size("ia") + F.size("ib")).alias("t")).where("100 * s >= 80 * (t - s)").select("a", "b"))
     for used in (wanted, sets):
@@ -282,26 +283,26 @@ def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, width: in
 
 def _open_links(members: DataFrame, roots: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame | None:
     """Links (a, b) between the components that still meet in a bucket, written out; none if no bucket holds two."""
-    rooted = members.join(roots.withColumnRenamed("node", "rn"), members["node"] == F.col("rn"), "left").select("band", "number", "node", "c", "shingles", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots.withColumnRenamed("node", "rn").hint("merge"), members["node"] == F.col("rn"), "left").select("band", "number", "node", "c", "shingles", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted)
     split = materialize(rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("band").alias("sb")))
     n_blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    open_ = rooted.join(split, rooted["band"] == split["sb"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    open_ = rooted.join(split.hint("merge"), rooted["band"] == split["sb"], "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
     others = F.explode(F.sequence(F.lit(0), n_blocks - 1))
     spread = open_.select("band", "number", "node", "root", "block", others.alias("other"))
     spread = materialize(spread.select("band", "number", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root"))
     used = [rooted, split, spread]
     marks = reps.select(F.col("node").alias("mn"), F.col("n").cast("int").alias("n"), "sketch", "bands")
     dealt = lambda rows: rows.repartition(*_PAIR_KEY).sortWithinPartitions(*_PAIR_KEY)
-    sketched = spread.join(marks, F.col("node") == F.col("mn")).drop("mn")
+    sketched = spread.join(marks.hint("merge"), F.col("node") == F.col("mn")).drop("mn")
     suspects = materialize(dealt(sketched).mapInArrow(_per_bucket(_Bucket.suspects, _SUSPECT), "band long, number int, i int, j int, node binary"))
     used.append(suspects)
     added = None
     if suspects.limit(1).count():
         wanted = materialize(suspects.select(F.col("node").alias("w")).distinct())
         sets = _node_sets(wanted, documents, reps, width)
-        marked = marks.join(sets.withColumnRenamed("node", "sn"), F.col("mn") == F.col("sn")).drop("sn")
-        sent = spread.join(suspects, [*_PAIR_KEY, "node"]).join(marked, F.col("node") == F.col("mn")).drop("mn")
+        marked = marks.join(sets.withColumnRenamed("node", "sn").hint("merge"), F.col("mn") == F.col("sn")).drop("sn")
+        sent = spread.join(suspects.hint("merge"), [*_PAIR_KEY, "node"]).join(marked.hint("merge"), F.col("node") == F.col("mn")).drop("mn")
         added = materialize(dealt(sent).mapInArrow(_per_bucket(_Bucket.links, _LINK), "a binary, b binary"))
         used += [wanted, sets]
     for frame in used:
@@ -317,7 +318,7 @@ def classes(documents: DataFrame, width: int = 2) -> DataFrame:
     rows = reps.select(F.posexplode("bands").alias("number", "band"), "node", F.col("n").cast("int").alias("n"))
     leaders = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("c"), F.sum("n").alias("shingles"))
     leaders = materialize(leaders.where("c > 1").select(F.col("band").alias("lb"), "leader", "c", "shingles"))
-    members = materialize(rows.join(leaders, rows["band"] == leaders["lb"]).select("band", "number", "node", "n", "leader", "c", "shingles"))
+    members = materialize(rows.join(leaders.hint("merge"), rows["band"] == leaders["lb"]).select("band", "number", "node", "n", "leader", "c", "shingles"))
     pairs = materialize(
         members.where("node <> leader.node and 100 * least(n, leader.n) >= 80 * greatest(n, leader.n)").select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     )
@@ -332,12 +333,12 @@ def classes(documents: DataFrame, width: int = 2) -> DataFrame:
             roots = components(every)
         used.append(added)
     used.append(links)
-    named = materialize(reps.select("node", "rep").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn")).select("node", "rep", "root"))
+    named = materialize(reps.select("node", "rep").join(roots.withColumnRenamed("node", "rn").hint("merge"), F.col("node") == F.col("rn")).select("node", "rep", "root"))
     lowest = materialize(named.groupBy("root").agg(F.min("rep").alias("low")).select(F.col("root").alias("lr"), F.col("low.doc_id").alias("component")))
-    placed = materialize(named.join(lowest, named["root"] == lowest["lr"]).select(F.col("node").alias("pn"), "component", F.col("root").alias("pr")))
+    placed = materialize(named.join(lowest.hint("merge"), named["root"] == lowest["lr"]).select(F.col("node").alias("pn"), "component", F.col("root").alias("pr")))
     alone = materialize(reps.select(F.col("node").alias("an"), F.col("rep.doc_id").alias("label")))
     slim = materialize(signed.select("doc_id", "h", "n_shingles", "node"))
-    out = slim.join(alone, F.col("node") == F.col("an"), "left").join(placed, F.col("node") == F.col("pn"), "left")
+    out = slim.join(alone.hint("merge"), F.col("node") == F.col("an"), "left").join(placed.hint("merge"), F.col("node") == F.col("pn"), "left")
     component = F.when(F.col("pn").isNotNull(), F.col("component")).when(F.col("an").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     for frame in (*used, named, lowest, roots, signed, reps):
         discard(frame)
@@ -367,7 +368,7 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     rows = classes(documents, width).where("root is not null").select("root", F.col("doc_id").isNull().alias("lost"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
     keys = materialize(rows.groupBy("root", "lost", "id", "h").agg(F.count("*").alias("c")))
     best = keys.groupBy("root").agg(least.alias("best"))
-    told = keys.join(best.withColumnRenamed("root", "br"), F.col("root") == F.col("br")).withColumn("stays", F.col("best") == F.struct("lost", "id", "h"))
+    told = keys.join(best.withColumnRenamed("root", "br").hint("merge"), F.col("root") == F.col("br")).withColumn("stays", F.col("best") == F.struct("lost", "id", "h"))
     gone = materialize(told.where("not stays or c > 1").select("lost", "id", "h", "stays"))
     discard(keys)
     text = F.col("text").cast("string")

@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights: DataFrame | Mapping[str | None, float], key: s
     ranked = ranked.join(starts, ranked["s"].eqNullSafe(starts["s2"]) & (ranked["bucket"] == starts["bucket2"]))
     rank = F.col("start") + F.col("r")
     placed = ranked.select("row", "s", F.floor(rank / block_docs).alias("block"), (rank % block_docs).alias("offset"))
-    placed = placed.join(plan, placed["s"].eqNullSafe(plan["p_s"]) & (placed["block"] == plan["p_block"]))
+    placed = placed.join(plan.hint("merge"), placed["s"].eqNullSafe(plan["p_s"]) & (placed["block"] == plan["p_block"]))
     slot = F.col("p_slot")
     made = F.struct(F.col("block"), F.col("p_release").alias("release"), F.col("p_deadline").alias("deadline"), slot.alias("slot"), (slot * block_docs + F.col("offset")).alias("position"))
     return placed.select("row.*", made.alias(out))
@@ -167,7 +167,8 @@ def in_mixed_order(docs: DataFrame) -> DataFrame:
     slim = filed.select(*at, quoted("doc_id").alias("doc_id"), quoted("source").alias("source"))
     places = materialize(mix(slim, tempered_weights(slim)).select(F.col("_f").alias("m_f"), F.col("_i").alias("m_i"), F.col("mix.position").alias("m_position")))
     rows = filed.select(F.struct(*map(quoted, columns)).alias("row"), *at)
-    both = rows.join(places, (F.col("_f") == F.col("m_f")) & (F.col("_i") == F.col("m_i")))
+    # a merge at any size: places are as many as rows, though fewer bytes
+    both = rows.join(places.hint("merge"), (F.col("_f") == F.col("m_f")) & (F.col("_i") == F.col("m_i")))
     return both.repartitionByRange("m_position").sortWithinPartitions("m_position").select("row.*")
 
 

@@ -16,19 +16,22 @@ Strings that no sieve of fixed size has seen are not sent; what it lets through
 Texts are cut into words once: a row of that table holds a run of texts, as codes into the run's distinct word hashes.
 Every later pass reads it; what a task has counted it deals out by hash as arrays, one row a partition, so that a
 shuffle moves few rows, whatever their content. Words and strings are compared by 64-bit hash: with ten billion
-distinct ones under three pairs are expected to share one.
+distinct ones under three pairs are expected to share one. Every step is written out and its shuffle files go when it
+ends; texts are scored in GROUPS groups, one after the other, so that the words of one group are on their way at a time.
 """
 
 from __future__ import annotations
 
-import gc
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize
@@ -47,6 +50,8 @@ SIEVE_BITS, PROBES = 1 << 27, (0, 18, 36)
 FLUSH_GRAMS = 800_000
 #: Strings, about, that one task of a shuffle gets.
 PER_TASK = 1_500_000
+#: Groups of texts that are scored one after the other. More take less disk, and deal the table more often.
+GROUPS = 4
 
 #: Stand for the end of a text, counted as a token, and for its beginning, which is none.
 END_HASH, START_HASH = -0x5EED_0E0D, -0x5EED_57A7
@@ -196,10 +201,16 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _release(spark) -> None:
-    """Let go of the shuffle files of finished jobs: they stay on disk until the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files are deleted when it ends, not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +281,13 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), doc_id, (~held_out(F.col("doc_id"))).alias("train"), F.col("text").cast("string").alias("text"))
     kind = "train boolean, rids array<long>, doc_ids array<long>, lengths array<long>, codes binary, words binary"
-    return materialize(rows.mapInArrow(_runs, kind))
+    return materialize(rows.mapInArrow(_runs, kind), {"compression": "zstd"})
+
+
+def _groups(cut: DataFrame) -> list[DataFrame]:
+    """The rows of ``cut`` by its files, in GROUPS parts at most."""
+    files = sorted(unquote(f) for f in cut.inputFiles())
+    return [cut.sparkSession.read.schema(cut.schema).parquet(*files[k::GROUPS]) for k in range(min(GROUPS, len(files)))] or [cut]
 
 
 def weights(cut: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int, int]:
@@ -300,11 +317,12 @@ def weights(cut: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int, in
             break
         shipped = spark.sparkContext.broadcast(sieves)
         dealt = texts.mapInArrow(_count_grams(length, shipped, parts_n), _DEALT).repartitionById(parts_n, F.col("p"))
-        grams = dealt.mapInArrow(_summed(("key", "x", "y", "n"), LEAST), "key long, x long, y long, n long")
+        grams = materialize(dealt.mapInArrow(_summed(("key", "x", "y", "n"), LEAST), "key long, x long, y long, n long"))
+        shipped.unpersist()
         # inner joins: what the sieves let through in error goes. Frequent contexts are split by the engine's skew join
         rows = grams.join(live.select(F.col("key").alias("x"), F.col("n").alias("total")), "x").join(below.select(F.col("key").alias("y"), F.col("lp").alias("low")), "y")
         rows = materialize(rows)
-        shipped.unpersist()
+        discard(grams)
         own, low = F.col("n") / F.col("total"), F.pow(F.lit(10.0), "low")
         sums = rows.groupBy("x").agg(F.max("total").alias("total"), F.sum("n").alias("kept"), F.sum(own * F.log(own / low)).alias("gap"), F.sum(low).alias("known"))
         left = F.col("total") - F.col("kept")
@@ -321,11 +339,9 @@ def weights(cut: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int, in
         if length <= depth:
             live = materialize(live)
             used.append(live)
-        _release(spark)
     table = materialize(reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("w").alias("w")))
     for frame in used:
         discard(frame)
-    _release(spark)
     return table, int(n), int(v), length
 
 
@@ -394,7 +410,7 @@ def _score_rows(shipped, longest: int, parts: int):
                 _, first, tf = _tally(joined_hash(owner.astype(np.int64), h))
                 yield from _deal_counts([h[first], rid[owner[first]]], tf, parts, (_FAR, _FAR_ONCE))
                 lost = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _deal([_spread(rid), rid, ids.fill_null(0).to_numpy(), lost, lengths - 1, others, plain, model], parts, _OWN)
+                yield _deal([rid, ids.fill_null(0).to_numpy(), lost, lengths - 1, others, plain, model], parts, _OWN, _spread(rid))
 
     return run
 
@@ -412,7 +428,7 @@ def _table_rows(parts: int):
     return run
 
 
-_WIDTH = {_TABLE: 3, _FAR: 3, _FAR_ONCE: 2, _OWN: 8, _SUMS: 5}
+_WIDTH = {_TABLE: 3, _FAR: 3, _FAR_ONCE: 2, _OWN: 7, _SUMS: 4}
 
 
 def _weighed(parts: int):
@@ -428,7 +444,7 @@ def _weighed(parts: int):
             code = pc.dictionary_encode(pa.array(rid))
             at, own = code.indices.to_numpy(), code.dictionary.to_numpy()
             known, rare, far = (np.bincount(at, x, len(own)) for x in (known, rare, far))
-            return _deal([_spread(own), own, known.astype(np.int64), rare, far], parts, _SUMS)
+            return _deal([own, known.astype(np.int64), rare, far], parts, _SUMS, _spread(own))
 
         for batch in batches:
             for kind, data in _dealt(batch, _WIDTH):
@@ -436,7 +452,7 @@ def _weighed(parts: int):
                     table.append(data)
                     continue
                 if kind == _OWN:
-                    yield _deal(list(data), parts, _OWN)
+                    yield _deal(list(data), parts, _OWN, _spread(data[0]))
                     continue
                 if lookup is None:
                     entries = np.concatenate(table, 1) if table else np.empty((3, 0), np.int64)
@@ -467,17 +483,18 @@ def _texts_of_part(batches):
         return
     own = np.concatenate(own, 1)
     k = own.shape[1]
-    lookup = _Lookup(own[1])
+    spread = _spread(own[0])
+    lookup = _Lookup(spread)
     known, rare, far = np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
     if sums:
         rows = np.concatenate(sums, 1)
-        at = lookup.find(rows[1])
-        known = np.bincount(at, rows[2], k).astype(np.int64)
-        rare, far = (np.bincount(at, rows[i].view(np.float64), k) for i in (3, 4))
-    plain, model = own[6].view(np.float64), own[7].view(np.float64)
-    doc_id = pa.array(own[2], mask=own[3] == 1)
+        at = lookup.find(_spread(rows[0]))
+        known = np.bincount(at, rows[1], k).astype(np.int64)
+        rare, far = (np.bincount(at, rows[i].view(np.float64), k) for i in (2, 3))
+    plain, model = own[5].view(np.float64), own[6].view(np.float64)
+    doc_id = pa.array(own[1], mask=own[2] == 1)
     names = ["doc_id", "n", "known", "plain", "model"]
-    columns = [doc_id, pa.array(own[4]), pa.array(own[4] - own[5] + known), pa.array(plain + rare), pa.array(model + far)]
+    columns = [doc_id, pa.array(own[3]), pa.array(own[3] - own[4] + known), pa.array(plain + rare), pa.array(model + far)]
     for at in range(0, k, 50_000):
         yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names)
 
@@ -486,6 +503,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
+def _scored(cut: DataFrame, table: DataFrame, n: int, longest: int) -> DataFrame:
+    """Sums over the words and strings of each text, written out group by group."""
+    spark = cut.sparkSession
+    often = (F.col("n") >= HOT_SHARE * n) | F.col("h").isin(START_HASH, END_HASH)
+    weighty = (F.col("c") > 0) | (F.col("w") != 0)
+    top = table.where(often & weighty).toArrow()
+    bits = _sieve(table.where((F.col("c") == 0) & weighty), "h")
+    shipped = spark.sparkContext.broadcast((*(top[x].to_numpy() for x in ("h", "c", "w")), bits))
+    groups = _groups(cut)
+    parts = _parts(spark, 2 * n // len(groups))
+    rarer = table.where(~often & weighty).select(F.col("h").alias("ch"), "c", "w").mapInArrow(_table_rows(parts), _DEALT)
+    done = []
+    for group in groups:
+        texts = group.mapInArrow(_score_rows(shipped, longest, parts), _DEALT)
+        # a task's share of the table comes before the strings that are looked up in it
+        met = texts.unionByName(rarer).repartitionById(parts, F.col("p")).sortWithinPartitions("kind").mapInArrow(_weighed(parts), _DEALT)
+        done.append(materialize(met.repartitionById(parts, F.col("p")).mapInArrow(_texts_of_part, "doc_id long, n long, known long, plain double, model double")))
+    shipped.unpersist()
+    return reduce(DataFrame.unionByName, done)
+
+
 def score_corpus(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``documents``.
 
@@ -494,20 +532,12 @@ def score_corpus(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     columns are not read. Without training rows every text has the probability of unknown words; an empty table gives
     an empty one. Texts of any length are read whole.
     """
-    cut = cut_texts(documents)
-    table, n, v, longest = weights(cut, depth)
-    spark = documents.sparkSession
-    often = (F.col("n") >= HOT_SHARE * n) | F.col("h").isin(START_HASH, END_HASH)
-    weighty = (F.col("c") > 0) | (F.col("w") != 0)
-    top = table.where(often & weighty).toArrow()
-    bits = _sieve(table.where((F.col("c") == 0) & weighty), "h")
-    shipped = spark.sparkContext.broadcast((*(top[x].to_numpy() for x in ("h", "c", "w")), bits))
-    parts = _parts(spark, 2 * n)
-    texts = cut.mapInArrow(_score_rows(shipped, longest, parts), _DEALT)
-    rarer = table.where(~often & weighty).select(F.col("h").alias("ch"), "c", "w").mapInArrow(_table_rows(parts), _DEALT)
-    # a task's share of the table comes before the strings that are looked up in it
-    met = texts.unionByName(rarer).repartitionById(parts, F.col("p")).sortWithinPartitions("kind").mapInArrow(_weighed(parts), _DEALT)
-    sums = met.repartitionById(parts, F.col("p")).mapInArrow(_texts_of_part, "doc_id long, n long, known long, plain double, model double")
+    with _shuffles_let_go(documents.sparkSession):
+        cut = cut_texts(documents)
+        table, n, v, longest = weights(cut, depth)
+        sums = _scored(cut, table, n, longest)
+    discard(cut)
+    discard(table)
     base = F.col("plain") - F.col("n") * math.log10(n + v + 1)
     return sums.select(
         "doc_id",

@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -610,6 +611,29 @@ def test_suffix_tree_equals_brute_force_and_keeps_strings_of_a_large_corpus(spar
     assert unlearnt and all(r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0.0 for r in unlearnt)
 
 
+def test_suffix_tree_leaves_no_shuffle_files_and_scores_by_groups(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(60)) for _ in range(300)] + ["", None]
+    frame(spark, texts, [(7, "w1 w2", "en", "s", 5)]).write.parquet(f"{tmp_path}/texts")
+    docs = spark.read.parquet(f"{tmp_path}/texts").repartition(9)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    earlier = shuffled()
+    scored = suffix_tree.score_corpus(docs)
+    for _ in range(50):
+        if not shuffled() - earlier:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - earlier
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    whole = suffix_tree.score_corpus(docs.coalesce(1))
+    key = lambda r: (r["doc_id"], r["n_tokens"])
+    got, want = (sorted(f.collect(), key=key) for f in (scored, whole))
+    assert len(got) == len(want) == len(texts) + 1
+    for x, y in zip(got, want, strict=True):
+        assert x[:5] == y[:5] and x["base_score"] == pytest.approx(y["base_score"]) and x["score"] == pytest.approx(y["score"])
+
+
 def test_word_hashes_are_those_of_single_words():
     rng = random.Random(4)
     words = ["".join(rng.choice("abÀé0-\x1c\xa0") for _ in range(rng.choice([1, 3, 9, 200, 300]))) for _ in range(400)]
